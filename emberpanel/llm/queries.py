@@ -8,20 +8,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import table
+from emberpanel.llm import langid, toxicity
+from emberpanel.llm.common import crc_mod, table
 from emberpanel.llm.decontaminate import find_contamination
 from emberpanel.llm.packing import pack
+from emberpanel.llm.substrings import remove_repeats
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.vocabulary(pieces), learn=F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True)))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op9_benchmark_decontamination)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op7_best_fit_packing,
+        op8_substring_dedup,
+        op9_benchmark_decontamination,
+        op10_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
