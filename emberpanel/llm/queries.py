@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberpanel.llm import langid, toxicity
+from emberpanel.llm.chat import CONTROL, format_chats
 from emberpanel.llm.common import crc_mod, table
 from emberpanel.llm.decontaminate import find_contamination
+from emberpanel.llm.fingerprint import compare_with_edits
 from emberpanel.llm.packing import pack
 from emberpanel.llm.substrings import remove_repeats
 
@@ -25,6 +27,39 @@ def op1_language_id(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> D
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_with_edits(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    chats = format_chats(rows.unionByName(added))
+    turns = F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.col("loss_text")
+    return chats.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP4_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), pieces AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{CONTROL}'))
+    + CASE role WHEN 'user' THEN 6 + 7 + 2 WHEN 'assistant' THEN 3 + 4 + 2 WHEN 'system' THEN 7 + 8 + 2
+      ELSE 8 + 9 + 3 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + len(regexp_extract_all(role, '{CONTROL}')) END AS width
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(width) + count(*) - 1)::BIGINT AS formatted_chars
+FROM pieces GROUP BY conv_id
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"))
 
@@ -49,10 +84,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op3_order_minhash,
+        op4_chat_format,
         op7_best_fit_packing,
         op8_substring_dedup,
         op9_benchmark_decontamination,
         op10_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
