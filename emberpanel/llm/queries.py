@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberpanel.llm import langid, toxicity
+from emberpanel.llm import langid, secrets, toxicity
 from emberpanel.llm.chat import CONTROL, format_chats
 from emberpanel.llm.common import crc_mod, table
 from emberpanel.llm.decontaminate import find_contamination
 from emberpanel.llm.fingerprint import compare_with_edits
 from emberpanel.llm.packing import pack
 from emberpanel.llm.substrings import remove_repeats
+from emberpanel.llm.urls import judge_urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> D
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.train()).drop("redacted")
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = compare_with_edits(table(spark, sf_dir, "documents"))
     return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
@@ -60,6 +65,10 @@ FROM pieces GROUP BY conv_id
 """
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"))
 
@@ -84,8 +93,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_secret_scan,
         op3_order_minhash,
         op4_chat_format,
+        op5_url_filter,
         op7_best_fit_packing,
         op8_substring_dedup,
         op9_benchmark_decontamination,
