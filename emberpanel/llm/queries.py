@@ -13,6 +13,7 @@ from emberpanel.llm.chat import CONTROL, format_chats
 from emberpanel.llm.common import crc_mod, table
 from emberpanel.llm.decontaminate import find_contamination
 from emberpanel.llm.fingerprint import compare_with_edits
+from emberpanel.llm.neardup import near_duplicates
 from emberpanel.llm.packing import pack
 from emberpanel.llm.substrings import remove_repeats
 from emberpanel.llm.urls import judge_urls
@@ -69,6 +70,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), Path(tokenizer).read_text(encoding="utf-8"))
 
@@ -97,6 +102,7 @@ QUERIES = {
         op3_order_minhash,
         op4_chat_format,
         op5_url_filter,
+        op6_minhash_near_dedup,
         op7_best_fit_packing,
         op8_substring_dedup,
         op9_benchmark_decontamination,
