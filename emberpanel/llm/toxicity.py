@@ -52,7 +52,7 @@ def _rows(texts: list[set[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.nd
     return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def fit(texts: list[set[str]], labels: list[int], *, least: int = 4, surprise: float = 16.0, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5, twins: float = 1.0, inserted: int = 200) -> Model:
+def fit(texts: list[set[str]], labels: list[int], *, least: int = 4, surprise: float = 16.0, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5, twins: float = 10.0, inserted: int = 200) -> Model:
     """Adam on the mean loss: cross entropy (both classes of equal weight), ``decay`` on squared weights and ``twins`` on twins' scores.
 
     Words count that are in ``least`` texts and whose share of toxic texts departs from the mean by a chi-square of ``surprise``,
