@@ -407,3 +407,21 @@ def test_streams(spark, tmp_path):
     assert (first.open, first.high, first.low, first.close, first.volume) == (5.0, 7.0, 5.0, 6.0, 3.0)
     levels = sorted(r.level for r in spark.table("levels").collect())
     assert len(levels) == 5 and levels[0] == 5.0
+
+
+def test_command_lines(spark, tmp_path):
+    from emberpanel import cli
+
+    bars = pd.concat([walk(150, k).assign(ticker=t) for k, t in enumerate("AB")])
+    bars.to_csv(tmp_path / "bars.csv", index=False)
+    out = str(tmp_path / "out")
+    assert cli.main(["panel", "--bars", str(tmp_path / "bars.csv"), "--window", "5", "--output-dir", out, "--quiet"], spark) == 0
+    assert spark.read.parquet(f"{out}/panel").select("ticker").distinct().count() == 2
+    assert cli.main(["backtest", "--input-dir", f"{out}/panel", "--horizons", "1", "--min-train", "120", "--refit", "20", "--bootstrap", "50", "--output-dir", f"{out}/bt"], spark) == 0
+    assert spark.read.csv(f"{out}/bt/leaderboard_1", header=True).count() == 5
+    root = tmp_path / "archive"
+    root.mkdir()
+    measures(330, 2).to_csv(root / "bbb.csv", index=False)
+    args = ["replicate", "--archive-root", str(root), "--start", "2019-01-01", "--end", "2030-01-01", "--window-size", "300", "--refit", "30", "--horizons", "1", "--no-slow-models", "--no-mem", "--bootstrap", "20", "--output-dir", f"{out}/rep"]
+    assert cli.main(args, spark) == 0
+    assert spark.read.csv(f"{out}/rep/comparison", header=True).where("model = 'log_har'").first().published_ratio == "1.0"
