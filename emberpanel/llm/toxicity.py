@@ -114,8 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array([sorted(words_of(t)) for t in strings(batch, "_text")], pa.list_(pa.string()))], names=["_id", "_y", "words"])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    got = sorted(((str(r._id), r._y, r.words) for r in arrow_map(rows, f"_id {id_type}, _y int, words array<string>", work).toLocalIterator()), key=lambda r: r[0])
-    return fit([set(r[2]) for r in got], [int(r[1] > 0) for r in got])
+    pool: dict[str, str] = {}  # one string a word, however many texts have it
+    got = [(str(r._id), int(r._y > 0), {pool.setdefault(w, w) for w in r.words}) for r in arrow_map(rows, f"_id {id_type}, _y int, words array<string>", work).toLocalIterator()]
+    got.sort(key=lambda r: r[0])
+    return fit([r[2] for r in got], [r[1] for r in got])
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
