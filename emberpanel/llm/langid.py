@@ -213,7 +213,7 @@ def train(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_co
     share = F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(sizes.items()) for x in (k, min(1.0, per_language / v))]), F.col(lang_col))
     sample = labelled.where(spread < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts: dict[str, dict[str, int]] = {}
-    for row in sample.toLocalIterator():
+    for row in sample.collect():
         own = counts.setdefault(row.lang, {})
         for word in _WORDS.findall(row.text.lower()):
             marked = mark(word)

@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     id_type = rows.schema["_id"].dataType.simpleString()
     pool: dict[str, str] = {}  # one string a word, however many texts have it
-    got = [(str(r._id), int(r._y > 0), {pool.setdefault(w, w) for w in r.words}) for r in arrow_map(rows, f"_id {id_type}, _y int, words array<string>", work).toLocalIterator()]
+    got = [(str(r._id), int(r._y > 0), {pool.setdefault(w, w) for w in r.words}) for r in arrow_map(rows, f"_id {id_type}, _y int, words array<string>", work).collect()]
     got.sort(key=lambda r: r[0])
     return fit([r[2] for r in got], [r[1] for r in got])
 
