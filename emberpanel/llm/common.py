@@ -29,8 +29,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once a session, so Python workers can import it wherever they run."""
+    """Give the executors this package once a session, so Python workers can import it wherever they run, and keep Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_emberpanel_shipped", False):
         return
