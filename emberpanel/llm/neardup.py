@@ -4,10 +4,10 @@ A shingle is five words; its weight is its count times the mean inverse document
 often is not discounted for being copied. Document frequencies are counted over all documents; only those of frequent words differ from
 the ceiling, and how many such words there can be has a bound that does not grow with the corpus.
 
-Texts of equal words are one class from the start and go on as one representative. Bands of samples propose candidates. In
-each band bucket the member that meets most others in all its buckets is the hub, and the others are verified against it; members
-that the hub does not take stand again in the next round, and small buckets are verified pair by pair. Classes are the
-connected components of the verified links.
+Texts of equal words are one class from the start and go on as one text. Bands of samples make buckets. A bucket proposes a
+spanning forest of the pairs whose samples agree enough, not all pairs: what the forest links needs no other check. Where such
+pairs still join different classes after the forest is verified, their rows meet in blocks that compare all of them by matrix
+products. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 from emberpanel.llm.common import arrow_map, settle, ship, strings
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 14
 
 
 class WordHashes(dict):
     """64-bit hash of a word; at most ``LIMIT`` words are kept."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
@@ -82,32 +81,51 @@ def weighted_shingles(hashes: np.ndarray, weights: Weights, width: int) -> tuple
 
 
 class Sampler:
-    """Improved consistent weighted sampling with ``n`` samples; the random draws of a shingle come from tables by its hash."""
+    """Improved consistent weighted sampling with ``n`` samples; a shingle's random draws come from tables by bits of its hash.
+
+    Draws are 32 bits wide, so that one pass over (samples, shingles) stays in vector registers; equal minima go to the least
+    shingle, which keeps the samples consistent.
+    """
 
     def __init__(self, n: int, seed: int = 20_240_601):
-        size = 1 << _TABLE_BITS
-        u = (np.arange(size) + 0.5) / size
-        gamma = np.array([_gamma2_quantile(x) for x in u])
-        self.r, self.log_c = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
+        quantile = lambda bits: np.array([_gamma2_quantile((k + 0.5) / (1 << bits)) for k in range(1 << bits)])
+        r = quantile(12)
+        self.r, self.over_r, self.log_c = r.astype(np.float32), (1 / r).astype(np.float32), np.log(quantile(16)).astype(np.float32)
         rng = np.random.default_rng(seed)
-        self.salts = rng.integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+        salt, first, second = rng.integers(0, 2**32, (3, n, 1), np.uint32)
+        self.salt, self.first, self.second = salt, first | np.uint32(1), second | np.uint32(1)
 
-    def sample(self, shingles: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def sample(self, shingles: np.ndarray, weight: np.ndarray, block: int = 4096) -> np.ndarray:
         """The chosen (shingle, level) of each sample as a 64-bit hash."""
+        best = None
+        for at in range(0, len(shingles), block):
+            own = self._block(shingles[at : at + block], weight[at : at + block])
+            best = own if best is None else [np.where(own[0] < best[0], x, y) for x, y in zip(own, best, strict=True)]
+        return best[1] + best[2] * _MIX
+
+    def _block(self, shingles: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         log_w = np.log(weight).astype(np.float32)
-        low = np.uint64((1 << _TABLE_BITS) - 1)
-        out = np.empty(len(self.salts), np.uint64)
-        for k, salt in enumerate(self.salts):
-            draw = (shingles ^ salt) * _MIX
-            draw ^= draw >> np.uint64(31)
-            draw *= salt
-            r = self.r[draw >> np.uint64(64 - _TABLE_BITS)]
-            beta = ((draw >> np.uint64(24)) & np.uint64(0xFFFFF)).astype(np.float32) * np.float32(1 / (1 << 20))
-            c = self.log_c[(draw >> np.uint64(5)) & low]
-            level = np.floor(log_w / r + beta)
-            at = int(np.argmin(c - r * (level - beta + np.float32(1))))
-            out[k] = shingles[at] + np.uint64(int(level[at]) & 0xFFFFFFFF) * _MIX
-        return out
+        low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+        a = (low ^ self.salt) * self.first
+        a ^= a >> np.uint32(15)
+        a *= np.uint32(0x85EBCA6B)
+        a ^= a >> np.uint32(13)
+        b = (high + a) * self.second
+        b ^= b >> np.uint32(16)
+        beta = (a & np.uint32(0xFFFFF)).astype(np.float32)
+        beta *= np.float32(2**-20)
+        a >>= np.uint32(20)
+        level = log_w * self.over_r[a]
+        level += beta
+        np.floor(level, out=level)
+        height = level - beta
+        height += np.float32(1)
+        height *= self.r[a]
+        cost = self.log_c[b >> np.uint32(16)]
+        cost -= height
+        at = cost.argmin(1)
+        rows = np.arange(len(at))
+        return [cost[rows, at], shingles[at], level[rows, at].astype(np.int64).astype(np.uint64)]
 
 
 def _gamma2_quantile(u: float) -> float:
@@ -149,129 +167,296 @@ def word_weights(source: DataFrame, ceiling_share: int) -> Weights:
 
     n = source.count()
     counts = arrow_map(source.select("_text"), "word long, n long", work, rows=8192).groupBy("word").agg(F.sum("n").alias("df"))
-    frequent = counts.where(F.col("df") * ceiling_share > n).toLocalIterator()
+    frequent = counts.where(F.col("df") * ceiling_share > n).collect()
     return Weights({r.word % 2**64: 1 + math.log(n / r.df) for r in frequent}, 1 + math.log(ceiling_share))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) of linked ids: the least id reachable over links (a, b). Rounds of least neighbours and of pointer jumps, each a join and a partly aggregated group."""
+    """(id, root) of linked ids: the least id reachable over links (a, b).
+
+    Rounds of least neighbours and pointer jumps, each two joins and a partly aggregated group over linked ids alone.
+    """
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    roots = both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("root"))
     while True:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = roots.join(near, "id").select("id", "root", F.least("root", "near").alias("new"))
-        jump = step.join(step.select(F.col("id").alias("new"), F.col("new").alias("far")), "new", "left").select("id", "root", F.least("new", F.coalesce("far", "new")).alias("new"))
-        moved = settle(jump)
+        far = roots.select(F.col("id").alias("new"), F.col("root").alias("far"))
+        moved = settle(step.join(far, "new").select("id", "root", F.least("new", "far").alias("new")))
         roots = moved.select("id", F.col("new").alias("root"))
         if moved.where("new != root").isEmpty():
             return roots
 
 
+def estimates(sketches: np.ndarray, sizes: np.ndarray, at: int, threshold: float) -> np.ndarray:
+    """Shares of equal samples between row ``at`` and the rows after it; 0 where their numbers of words rule out ``threshold``."""
+    out = (sketches[at + 1 :] == sketches[at]).mean(1)
+    small, large = np.minimum(sizes[at + 1 :], sizes[at]), np.maximum(sizes[at + 1 :], sizes[at])
+    return np.where(small + 8 >= threshold * large, out, 0.0)
+
+
+def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimate, row, later row) of the pairs of a bucket's rows whose estimate is at least ``least``."""
+    parts = []
+    for k in range(len(sketches) - 1):
+        est = estimates(sketches, sizes, k, threshold)
+        near = np.flatnonzero(est >= least)
+        parts.append((est[near].astype(np.float32), np.full(len(near), k, np.int32), (near + k + 1).astype(np.int32)))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def forest(est: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs: rows well above the threshold go with the hub, the row that is like most others; others with their likest row."""
+    weight = np.bincount(left, est, n) + np.bincount(right, est, n)
+    hub, sure = int(weight.argmax()), threshold + 0.08
+    order = np.lexsort((right, left, -est, (left != hub) & (right != hub), -np.minimum(est, sure)))
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        if (fx := find(x)) != (fy := find(y)):
+            parent[fx] = fy
+            out.append((y, x) if y == hub else (x, y))
+            if len(out) == n - 1:
+                break
+    return out
+
+
+def blocks(left: np.ndarray, right: np.ndarray, roots: list[bytes], size: int) -> list[tuple[int, int]]:
+    """(block pair, row) of the rows with a pair between different classes, in blocks of ``size`` rows that keep classes together.
+
+    A pair of blocks has only rows with such a pair in it; two blocks of one class have none.
+    """
+    names = {r: k for k, r in enumerate(sorted(set(roots)))}
+    own = np.array([names[r] for r in roots])
+    apart = own[left] != own[right]
+    left, right = left[apart], right[apart]
+    used = np.unique(np.concatenate((left, right)))
+    counts = np.bincount(own)
+    used = used[np.lexsort((used, own[used], -counts[own[used]]))]
+    block = np.zeros(len(roots), np.int64)
+    block[used] = np.arange(len(used)) // size
+    x, y = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
+    pair = x * 4096 + y
+    both = np.unique(np.concatenate((np.stack((pair, left), 1), np.stack((pair, right), 1))), axis=0)
+    return [tuple(r) for r in both.tolist()]
+
+
+def _candidates(members: DataFrame, second: bool, threshold: float, least: float, size: int = 256) -> DataFrame:
+    """What each bucket has to verify; rows come sorted by bucket and part, and a part is held in memory.
+
+    First a spanning forest, as pairs (hub, member). Second, by classes (root), the rows of pairs that join different ones, dealt
+    to blocks: (bucket, part, pair, content, root). So a bucket never gives out its pairs, only its rows.
+    """
+    names = ["bucket", "part", "content", "sketch", "words", *(["root"] if second else [])]
+    schema = "bucket long, part long, pair long, content binary, root binary" if second else "hub binary, member binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if second else [pa.binary(), pa.binary()]
+    fields = [c.split()[0] for c in schema.split(", ")]
+
+    def found(rows: list[tuple]) -> list[tuple]:
+        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
+        if len(own) < 2 or (second and len({r[5] or r[2] for r in own}) < 2):
+            return []
+        sketches = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(len(own), -1)
+        est, left, right = alike(sketches, np.array([r[4] for r in own]), threshold, least)
+        if not len(est):
+            return []
+        if not second:
+            return [(own[x][2], own[y][2]) for x, y in forest(est, left, right, len(own), threshold)]
+        roots = [r[5] or r[2] for r in own]
+        return [(own[0][0], own[0][1], pair, own[x][2], roots[x]) for pair, x in blocks(left, right, roots, size)]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:2] != key:
+                    out += found(rows)
+                    key, rows = row[:2], []
+                rows.append(row)
+            if out:
+                yield batch_of(out)
+                out = []
+        out = found(rows)
+        if out:
+            yield batch_of(out)
+
+    ship(members.sparkSession)
+    dealt = members.select(*names).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    made = dealt.mapInArrow(run, schema)
+    return settle(made if second else made.distinct())
+
+
+def similarities(sets: list[tuple[np.ndarray, ...]], width: int = 4096) -> np.ndarray:
+    """(n, n) similarities as of ``weighted_jaccard``: shared weights are matrix products over ``width`` shingles at a time."""
+    n = len(sets)
+    key = np.concatenate([s[0] for s in sets])
+    row = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    weight, count = (np.concatenate([s[k] for s in sets]) for k in (1, 2))
+    _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    column = (np.cumsum(times > 1) - 1)[at][shared]
+    row_, idf, count_ = row[shared], (weight / count)[shared], count[shared]
+    order = np.argsort(column, kind="stable")
+    column, row_, idf, count_ = column[order], row_[order], idf[order], count_[order]
+    both = np.zeros((2, n, n))
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        c, r, w, k = column[begin:end] % width, row_[begin:end], idf[begin:end], count_[begin:end]
+        level = 1
+        while len(c):  # a shingle that both have t times counts t times
+            has, weighted = np.zeros((n, width), np.float32), np.zeros((n, width), np.float32)
+            has[r, c], weighted[r, c] = 1, w
+            both[0] += weighted @ has.T
+            both[1] += has @ has.T
+            level += 1
+            more = k >= level
+            c, r, w, k = c[more], r[more], w[more], k[more]
+    out = np.zeros((n, n))
+    for shared_weight, own in zip(both, (weight, count), strict=True):
+        total = np.bincount(row, own, n)
+        out = np.maximum(out, shared_weight / (total[:, None] + total[None, :] - shared_weight))
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def _verify_blocks(rows: DataFrame, texts: DataFrame, weights: Weights, width: int, threshold: float) -> DataFrame:
+    """Links between classes (a, b are their roots) that some pair within a block pair makes."""
+    dealt = rows.join(texts, "content").repartition("bucket", "part", "pair").sortWithinPartitions("bucket", "part", "pair")
+
+    def links(roots: list[bytes], sets: list[tuple[np.ndarray, ...]]) -> list[tuple[bytes, bytes]]:
+        x, y = np.nonzero(np.triu(similarities(sets) >= threshold - 1e-6, 1))
+        return sorted({(min(roots[i], roots[j]), max(roots[i], roots[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True) if roots[i] != roots[j]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, roots, sets = None, [], []
+        for batch in batches:
+            if len(_HASHES) > WordHashes.LIMIT:
+                _HASHES.clear()
+            out: list[tuple[bytes, bytes]] = []
+            for bucket, part, pair, root, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "pair", "root", "_text")), strict=True):
+                if (bucket, part, pair) != key:
+                    out += links(roots, sets) if sets else []
+                    key, roots, sets = (bucket, part, pair), [], []
+                roots.append(root)
+                sets.append(weighted_shingles(word_hashes(text), weights, width))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+        out = links(roots, sets) if sets else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    ship(rows.sparkSession)
+    return settle(dealt.select("bucket", "part", "pair", "root", "_text").mapInArrow(run, "a binary, b binary").distinct())
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, width: int, threshold: float, block: int) -> DataFrame:
     """Links (a, b) among candidate pairs (hub, member): a hub's members come in blocks of about ``block``, each with the hub's text."""
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     dealt = pairs.join(sizes, "hub").select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / block)).alias("part"))
-    asked = dealt.select(F.col("member").alias("rep"), "hub", "part").unionByName(dealt.select(F.col("hub").alias("rep"), "hub", "part").distinct())
-    rows = asked.join(texts, "rep").repartition("hub", "part").sortWithinPartitions("hub", "part")
+    asked = dealt.select(F.col("member").alias("content"), "hub", "part").unionByName(dealt.select(F.col("hub").alias("content"), "hub", "part").distinct())
+    rows = asked.join(texts, "content").repartition("hub", "part").sortWithinPartitions("hub", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets = None, {}
 
-        def links(key, sets) -> pa.RecordBatch:
+        def links() -> pa.RecordBatch:
             hub = sets.get(key[0])
             good = [m for m, own in sorted(sets.items()) if m != key[0] and weighted_jaccard(hub, own) >= threshold]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.binary()), pa.array(good, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             if len(_HASHES) > WordHashes.LIMIT:
                 _HASHES.clear()
-            for hub, part, rep, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "rep", "_text")), strict=True):
+            for hub, part, content, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "content", "_text")), strict=True):
                 if (hub, part) != key:
                     if key:
-                        yield links(key, sets)
+                        yield links()
                     key, sets = (hub, part), {}
-                sets[rep] = weighted_shingles(word_hashes(text), weights, width)
+                sets[content] = weighted_shingles(word_hashes(text), weights, width)
         if key:
-            yield links(key, sets)
+            yield links()
 
     ship(pairs.sparkSession)
-    return rows.select("hub", "part", "rep", "_text").mapInArrow(run, "a long, b long")
+    return settle(rows.select("hub", "part", "content", "_text").mapInArrow(run, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 12, per_band: int = 3, ceiling_share: int = 256, small: int = 12, block: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 14, per_band: int = 3, ceiling_share: int = 256, largest: int = 4096, hubs: int = 64, block: int = 64) -> DataFrame:
     """``id_col``, class_id, class_size and keep of each document: its near-duplicate class, and whether it is the one to keep.
 
-    ``class_id`` is the least id of the class; the first row of that id is kept. Words are lower-cased and split at white space.
-    Documents of equal words are one class, those without words too. A pair of similarity s meets in a band with probability
-    1 - (1 - s^per_band)^bands: 0.9997 at 0.8 with these parameters.
+    ``class_id`` is the least id of the class (null if it has none); the class's first row of that id is kept. Words are lower-cased
+    and split at white space. Documents of equal words are one class, those without words too. A pair of similarity s meets in a
+    band with probability 1 - (1 - s^per_band)^bands, 0.99996 at 0.8 with these parameters; pairs whose samples agree in a
+    share 3.6 standard deviations below the threshold or less are not verified.
+
+    A bucket of more than ``largest`` different texts is split by hash into parts, each with the same texts, of every ``hubs``-th by hash the one that meets most others, through which its parts are joined.
 
-    Null text has no words. Ids are whole numbers; rows of a null id are a class each and kept. Repeated rows are copies. An
-    empty table gives no rows. Other columns are ignored.
+    Null text has no words. Ids are whole numbers. Repeated rows are copies. An empty table gives no rows. Other columns are
+    ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
     weights = word_weights(source, ceiling_share)
     sampler = Sampler(bands * per_band)
+    least = threshold - 3.6 * math.sqrt(threshold * (1 - threshold) / (bands * per_band))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         if len(_HASHES) > WordHashes.LIMIT:
             _HASHES.clear()
-        contents, found = [], []
+        contents, words, sketches, found = [], [], [], []
         salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for text in strings(batch, "_text"):
             hashes = word_hashes(text)
             contents.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+            words.append(len(hashes))
             if not len(hashes):
+                sketches.append(b"")
                 found.append([])
                 continue
-            chosen = sampler.sample(*weighted_shingles(hashes, weights, width)[:2]).reshape(bands, per_band)
-            key = salts
+            chosen = sampler.sample(*weighted_shingles(hashes, weights, width)[:2])
+            sketches.append(_mixed(chosen).astype(np.uint16).tobytes())
+            key, chosen = salts, chosen.reshape(bands, per_band)
             for k in range(per_band):
                 key = _mixed(key ^ chosen[:, k])
             found.append(key.view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(contents, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["_id", "content", "bands"])
-
-    signed = settle(arrow_map(source, "_id long, content binary, bands array<long>", sign))
-    known = signed.where("_id is not null")
-    exact = settle(known.groupBy("content").agg(F.min("_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    buckets = exact.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = settle(buckets.join(shared, "bucket").select("bucket", "rep", "n"))
-    met = settle(buckets.groupBy("rep").agg(F.sum("n").alias("met")))
-    open_ = settle(buckets.join(met, "rep").select("bucket", "rep", "met"))
-    texts = settle(source.join(met.select(F.col("rep").alias("_id")), "_id").groupBy(F.col("_id").alias("rep")).agg(F.max("_text").alias("_text")))
-    links = None
-    roots = None
-    while not open_.isEmpty():
-        hubs = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("met", (-F.col("rep")).alias("low"))).alias("top"))
-        hubs = hubs.select("bucket", "n", (-F.col("top.low")).alias("hub"))
-        joined = open_.join(hubs, "bucket")
-        stars = joined.where((F.col("n") > small) & (F.col("rep") != F.col("hub"))).select("hub", F.col("rep").alias("member"))
-        few = joined.where(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-        few = few.select(F.explode(F.transform("reps", lambda x, k: F.struct(x.alias("hub"), F.slice("reps", k + 2, small).alias("rest")))).alias("p"))
-        few = few.select("p.hub", F.explode("p.rest").alias("member"))
-        pairs = stars.unionByName(few).distinct()
-        if links is not None:  # pairs that one class holds need no check
-            mine = roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root"))
-            theirs = roots.select(F.col("id").alias("member"), F.col("root").alias("member_root"))
-            pairs = pairs.join(mine, "hub", "left").join(theirs, "member", "left").where("hub_root is null or member_root is null or hub_root != member_root").select("hub", "member")
-        found = settle(_verify(settle(pairs), texts, weights, width, threshold, block))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        # A large bucket goes on with the members that its hub's class has not taken.
-        large = joined.where((F.col("n") > small) & (F.col("rep") != F.col("hub"))).select("bucket", "rep", "met", "hub")
-        large = large.join(roots.select(F.col("id").alias("rep"), F.col("root").alias("own")), "rep", "left").join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hubs")), "hub", "left")
-        rest = large.where("own is null or hubs is null or own != hubs").select("bucket", "rep", "met")
-        again = rest.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-        open_ = settle(rest.join(again, "bucket").select("bucket", "rep", "met"))
-        del pairs, large, rest, again
-    if roots is None:
-        classes = exact.select("content", F.col("rep").alias("class_id"), "n")
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, k) for c, k in zip((contents, words, sketches, found), kinds, strict=True))], names=["_id", "_h", "content", "words", "sketch", "bands"])
+
+    signed = settle(arrow_map(source, "_id long, _h long, content binary, words int, sketch binary, bands array<long>", sign).withColumn("_row", F.monotonically_increasing_id()))
+    head = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_h")).alias("head")
+    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), F.first("words").alias("words"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    keys = exact.select("content", F.explode("bands").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    met = settle(keys.join(shared, "bucket").select("content", "bucket", "k"))
+    rows = met.join(exact.select("content", "words", "sketch"), "content")
+    parts = F.ceil(F.col("k") / largest)
+    split = met.where(F.col("k") > largest)
+    if split.isEmpty():
+        members = rows.select("bucket", F.lit(0).cast("long").alias("part"), "content", "sketch", "words")
     else:
-        classes = exact.join(roots, exact["rep"] == roots["id"], "left").select("content", F.coalesce("root", "rep").alias("class_id"), "n")
-    classes = settle(classes)
-    sizes = classes.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    members = signed.select("_id", "content", F.monotonically_increasing_id().alias("_row"))
-    out = members.join(classes.select(F.col("content").alias("_c"), "class_id"), (F.col("content") == F.col("_c")) & F.col("_id").isNotNull(), "left").join(sizes, "class_id", "left")
-    first = out.where("_id = class_id").groupBy(F.col("class_id").alias("_id")).agg(F.min("_row").alias("first"))
-    out = out.join(first, "_id", "left")
-    return out.select(F.col("_id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (F.col("_id").isNull() | F.coalesce(F.col("_row") == F.col("first"), F.lit(False))).alias("keep"))
+        popular = split.join(met.groupBy("content").agg(F.sum("k").alias("met")), "content").groupBy("bucket", "k", F.pmod(F.xxhash64("content"), F.lit(hubs))).agg(F.max(F.struct("met", "content")).alias("top"))
+        everywhere = popular.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "top.content")
+        members = rows.select("bucket", F.pmod(F.xxhash64("content", "bucket"), parts).alias("part"), "content", "sketch", "words")
+        members = members.unionByName(everywhere.join(exact.select("content", "sketch", "words"), "content").select("bucket", "part", "content", "sketch", "words"))
+    one = met.select("content").distinct().join(exact.select("content", "head._id", "head._h"), "content")
+    texts = settle(source.join(one, source["_id"].eqNullSafe(one["_id"]) & (source["_h"] == one["_h"])).groupBy("content").agg(F.first("_text").alias("_text")))
+    pairs = _candidates(members, False, threshold, least)
+    links = _verify(pairs, texts, weights, width, threshold, block)
+    roots = components(links)
+    known = members.join(roots.select(F.col("id").alias("content"), "root"), "content", "left")
+    more = _verify_blocks(_candidates(known, True, threshold, least), texts, weights, width, threshold)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    rooted = exact.select("content", "head", "n").join(roots.select(F.col("id").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    classes = rooted.groupBy("root").agg(F.min("head").alias("first"), F.sum("n").alias("class_size"))
+    of_content = rooted.select("content", "root").join(classes, "root").select("content", F.col("first._id").alias("class_id"), "class_size", F.col("first._row").alias("_first"))
+    out = signed.select("_id", "content", "_row").join(of_content, "content")
+    return out.select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_row") == F.col("_first")).alias("keep"))

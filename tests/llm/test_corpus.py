@@ -180,6 +180,23 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_block_similarities_are_the_pairs():
+    rng = np.random.default_rng(1)
+    weights = neardup.Weights({}, 2.0)
+    texts = [" ".join(f"w{x}" for x in np.where(rng.random(60) < 0.2, rng.integers(0, 40, 60), np.arange(60) % 7)) for _ in range(12)] + ["a a a a a a a a a", "a b"]
+    sets = [neardup.weighted_shingles(neardup.word_hashes(t), weights, 5) for t in texts]
+    got = neardup.similarities(sets, width=16)
+    assert got == pytest.approx(np.array([[neardup.weighted_jaccard(a, b) for b in sets] for a in sets]), abs=1e-5)
+
+
+def test_second_look_joins_classes_by_blocks():
+    left, right = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4])
+    roots = [b"a", b"a", b"b", b"c", b"c"]
+    assert {x for _, x in neardup.blocks(left, right, roots, 2)} == {0, 1, 2}
+    pairs = neardup.blocks(np.repeat(np.arange(6), 6), np.tile(np.arange(6), 6), [b"a"] * 4 + [b"b"] * 2, 2)
+    assert {p for p, _ in pairs} == {2, 4098}
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(0)
     sampler = neardup.Sampler(400)
