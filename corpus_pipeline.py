@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class goes on: the one of the least id."""
+    """One document of each near-duplicate class goes on: the one of the least id. Documents without an id stay."""
     kept = neardup.near_duplicates(docs).where("keep and doc_id is not null").select("doc_id")
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
