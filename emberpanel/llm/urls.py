@@ -65,7 +65,7 @@ def spread(seeds: DataFrame, links: DataFrame, *, rounds: int, damping: float) -
     return settle(mass)
 
 
-def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = 12, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = 12, damping: float = 0.85, threshold: float = 0.5, parts: int = 32) -> DataFrame:
     """``id_col``, host, path, rule and verdict of each page, and host_distrust, the distrust's share of the host's mass.
 
     The longest rule that fits decides; without one a host is blocked whose distrust is more than ``threshold`` of its trust and
@@ -89,6 +89,8 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
         reached = reached.join(mass.withColumnRenamed("mass", f"{column}_mass"), "host", "left")
     good, bad = (F.coalesce(F.col(f"{c}_mass"), F.lit(0.0)) for c in ("good", "bad"))
     judged = reached.select("host", F.when(bad > 0, bad / (good + bad)).otherwise(0.0).alias("host_distrust"))
-    out = rows.join(judged, "host", "left")
+    # A host may have a third of all pages: its rows go to ``parts`` places, and each host's verdict to all of them.
+    judged = judged.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    out = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "path"), F.lit(parts))).join(judged, ["host", "_part"], "left")
     by_host = F.when(F.col("host_distrust") > threshold, "block").otherwise("allow")
     return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), F.coalesce("host_distrust", F.lit(0.0)).alias("host_distrust"))
