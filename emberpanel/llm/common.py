@@ -48,6 +48,16 @@ def ship(spark: SparkSession) -> None:
     context._emberpanel_shipped = True
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Let a Python worker keep one operator's cache: those of operators that ran in it before are emptied."""
+    for other in [name for name in _HELD if name != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a name inside ``body`` so that it is evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import arrow_map, strings
+from emberpanel.llm.common import arrow_map, hold, strings
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -145,7 +145,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 4, s
 class Scorer:
     """Scores of a worker's words, kept across tasks; at most ``LIMIT`` words at a time."""
 
-    LIMIT = 700_000
+    LIMIT = 300_000
 
     def __init__(self, model: Model):
         self.model, self.lookup = model, Pieces(model.pieces)
@@ -194,6 +194,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 
 def scorer(model: Model) -> Scorer:
+    hold("langid", _SCORERS.clear)
     if model.key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[model.key] = Scorer(model)

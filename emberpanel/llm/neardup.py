@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import arrow_map, settle, ship, strings
+from emberpanel.llm.common import arrow_map, hold, settle, ship, strings
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,6 +40,12 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def trim_cache() -> None:
+    hold("neardup", _HASHES.clear)
+    if len(_HASHES) > WordHashes.LIMIT:
+        _HASHES.clear()
+
+
 def word_hashes(text: str) -> np.ndarray:
     words = text.lower().split()
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
@@ -159,8 +165,7 @@ def word_weights(source: DataFrame, ceiling_share: int) -> Weights:
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if len(_HASHES) > WordHashes.LIMIT:
-            _HASHES.clear()
+        trim_cache()
         own = [np.unique(word_hashes(t)) for t in strings(batch, "_text")]
         words, times = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], names=["word", "n"])
@@ -340,8 +345,7 @@ def _verify_blocks(rows: DataFrame, texts: DataFrame, weights: Weights, width: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, roots, sets = None, [], []
         for batch in batches:
-            if len(_HASHES) > WordHashes.LIMIT:
-                _HASHES.clear()
+            trim_cache()
             out: list[tuple[bytes, bytes]] = []
             for bucket, part, pair, root, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "pair", "root", "_text")), strict=True):
                 if (bucket, part, pair) != key:
@@ -375,8 +379,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, width: int, th
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.binary()), pa.array(good, pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            if len(_HASHES) > WordHashes.LIMIT:
-                _HASHES.clear()
+            trim_cache()
             for hub, part, content, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "content", "_text")), strict=True):
                 if (hub, part) != key:
                     if key:
@@ -409,8 +412,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = threshold - 3.6 * math.sqrt(threshold * (1 - threshold) / (bands * per_band))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if len(_HASHES) > WordHashes.LIMIT:
-            _HASHES.clear()
+        trim_cache()
         contents, words, sketches, found = [], [], [], []
         salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for text in strings(batch, "_text"):

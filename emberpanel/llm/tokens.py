@@ -14,6 +14,8 @@ import unicodedata
 
 import numpy as np
 
+from emberpanel.llm.common import hold
+
 #: Parts of a lower-cased word, as the tokenizer file states them, over the characters that _PLAIN admits.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters for which Python's classes and the tokenizer's agree.
@@ -100,7 +102,7 @@ class Merges:
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes. ``limit`` bounds each cache's entries."""
 
-    def __init__(self, tokenizer_json: str, limit: int = 800_000):
+    def __init__(self, tokenizer_json: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -150,6 +152,7 @@ _LOADED: dict[int, WordIds] = {}
 
 def word_ids(tokenizer_json: str) -> WordIds:
     """One instance a Python worker, kept across tasks."""
+    hold("tokens", _LOADED.clear)
     key = hash(tokenizer_json)
     if key not in _LOADED:
         _LOADED.clear()
