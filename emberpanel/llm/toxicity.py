@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import arrow_map, strings
+from emberpanel.llm.common import arrow_map, settle, strings
 
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Identity terms by kind; the terms at one place of a kind's lists name one group each.
@@ -52,25 +52,33 @@ def _rows(texts: list[set[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.nd
     return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def fit(texts: list[set[str]], labels: list[int], *, least: int = 4, surprise: float = 16.0, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5, twins: float = 10.0, inserted: int = 200) -> Model:
-    """Adam on the mean loss: cross entropy (both classes of equal weight), ``decay`` on squared weights and ``twins`` on twins' scores.
+def departs(n, t, mean, *, least: int = 4, surprise: float = 16.0):
+    """Whether a word in ``n`` texts, ``t`` of them toxic, is in ``least`` and departs from the ``mean`` share by a chi-square of ``surprise``."""
+    return (n >= least) & ((t - n * mean) * (t - n * mean) >= surprise * n * (mean * (1 - mean)))
 
-    Words count that are in ``least`` texts and whose share of toxic texts departs from the mean by a chi-square of ``surprise``,
-    and identity terms.
-    """
-    y = np.array(labels, float)
+
+def telling_words(texts: list[set[str]], labels: list[int]) -> set[str]:
     counts: dict[str, list[int]] = {}
     for own, label in zip(texts, labels, strict=True):
         for w in own:
             n = counts.setdefault(w, [0, 0])
             n[0] += 1
             n[1] += label
-    mean = y.mean() if len(y) else 0.0
-    spread = mean * (1 - mean) or 1.0
-    known = sorted({w for w, (n, t) in counts.items() if n >= least and (t - n * mean) ** 2 / (n * spread) >= surprise} | set(_SWAP))
+    mean = sum(labels) / len(labels) if labels else 0.0
+    return {w for w, (n, t) in counts.items() if departs(n, t, mean)}
+
+
+def fit(texts: list[set[str]], labels: list[int], words: set[str] | None = None, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5, twins: float = 10.0, inserted: int = 200) -> Model:
+    """Adam on the mean loss: cross entropy (both classes of equal weight), ``decay`` on squared weights and ``twins`` on twins' scores.
+
+    Only ``words`` (by default the telling ones of these texts) and identity terms have weights.
+    """
+    y = np.array(labels, float)
+    known = sorted((telling_words(texts, labels) if words is None else words) | set(_SWAP))
     ids = {w: k for k, w in enumerate(known)}
-    if not len(y) or y.min() == y.max():
-        return Model({}, -4.0 if not len(y) or y.max() == 0 else 4.0)
+    mean = y.mean() if len(y) else 0.0
+    if not 0 < mean < 1:
+        return Model({}, 4.0 if mean else -4.0)
     pairs = [(own, {_SWAP.get(w, w) for w in own}) for own in texts if not own.isdisjoint(_SWAP)]
     neutral = [own for own, label in zip(texts, labels, strict=True) if not label][:inserted]
     kinds = sorted(_SWAP)
@@ -110,14 +118,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = known.where(spread < min(1.0, sample / size)) if size > sample else known
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array([sorted(words_of(t)) for t in strings(batch, "_text")], pa.list_(pa.string()))], names=["_id", "_y", "words"])
 
-    id_type = rows.schema["_id"].dataType.simpleString()
-    pool: dict[str, str] = {}  # one string a word, however many texts have it
-    got = [(str(r._id), int(r._y > 0), {pool.setdefault(w, w) for w in r.words}) for r in arrow_map(rows, f"_id {id_type}, _y int, words array<string>", work).collect()]
+    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, words array<string>"
+    sampled = settle(arrow_map(rows.withColumn("_y", (F.col("_y") > 0).cast("int")), schema, split))
+    mean = sampled.agg(F.avg("_y")).first()[0] or 0.0
+    counts = sampled.select("_y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("_y").alias("t"))
+    telling = {r.w for r in counts.where(departs(F.col("n"), F.col("t"), F.lit(mean))).select("w").collect()}
+    wanted = telling | set(_SWAP)
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [[w for w in own if w in wanted] for own in batch.column("words").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(found, pa.list_(pa.string()))], names=["_id", "_y", "words"])
+
+    got = [(str(r._id), r._y, set(r.words)) for r in arrow_map(sampled, schema, pick).collect()]
     got.sort(key=lambda r: r[0])
-    return fit([r[2] for r in got], [r[1] for r in got])
+    return fit([r[2] for r in got], [r[1] for r in got], telling)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
