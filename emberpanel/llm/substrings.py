@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import arrow_map, ship, strings
+from emberpanel.llm.common import arrow_map, hold, ship, strings
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -43,6 +43,7 @@ def split_words(text: str) -> list[bytes]:
 
 def hash_lines(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and the offsets of the lines."""
+    hold("substrings", _HASHES.clear)
     if len(_HASHES) > WordHashes.LIMIT:
         _HASHES.clear()
     get = _HASHES.__getitem__
@@ -215,7 +216,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    packed = arrow_map(source.join(needed.hint("shuffle_hash"), ["_h", "_h2"]).select("_h", "_h2", "_text", "runs"), _PACKED, pack)
+    # The id goes along unread: with the columns of the last join, both joins read one shuffle of the texts.
+    packed = arrow_map(source.join(needed.hint("shuffle_hash"), ["_h", "_h2"]).select("_id", "_h", "_h2", "_text", "runs"), _PACKED, pack)
     found = _count_buckets(packed.repartition("mh", "salt").sortWithinPartitions("mh", "salt"), window, chunk_rows)
     seen = F.count("*").over(Window.partitionBy("w1", "w2"))
     hits = found.withColumn("seen", seen).where("_h is not null and (sure or seen >= 2)").groupBy("_h", "_h2").agg(F.collect_set(F.struct("start", "n")).alias("hits"))
