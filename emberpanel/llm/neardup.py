@@ -193,20 +193,21 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def estimates(sketches: np.ndarray, sizes: np.ndarray, at: int, threshold: float) -> np.ndarray:
-    """Shares of equal samples between row ``at`` and the rows after it; 0 where their numbers of words rule out ``threshold``."""
-    out = (sketches[at + 1 :] == sketches[at]).mean(1)
-    small, large = np.minimum(sizes[at + 1 :], sizes[at]), np.maximum(sizes[at + 1 :], sizes[at])
+def estimates(sketches: np.ndarray, sizes: np.ndarray, at: int, threshold: float, start: int) -> np.ndarray:
+    """Shares of equal samples between row ``at`` and the rows from ``start``; 0 where their numbers of words rule out ``threshold``."""
+    out = (sketches[start:] == sketches[at]).mean(1)
+    small, large = np.minimum(sizes[start:], sizes[at]), np.maximum(sizes[start:], sizes[at])
     return np.where(small + 8 >= threshold * large, out, 0.0)
 
 
-def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(estimate, row, later row) of the pairs of a bucket's rows whose estimate is at least ``least``."""
+def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float, least: float, cut: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimate, row, later row) of the pairs of a bucket's rows whose estimate is at least ``least``; with ``cut``, of rows before it with rows from it on."""
     parts = []
-    for k in range(len(sketches) - 1):
-        est = estimates(sketches, sizes, k, threshold)
+    for k in range(cut or len(sketches) - 1):
+        start = cut or k + 1
+        est = estimates(sketches, sizes, k, threshold, start)
         near = np.flatnonzero(est >= least)
-        parts.append((est[near].astype(np.float32), np.full(len(near), k, np.int32), (near + k + 1).astype(np.int32)))
+        parts.append((est[near].astype(np.float32), np.full(len(near), k, np.int32), (near + start).astype(np.int32)))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
@@ -253,23 +254,34 @@ def blocks(left: np.ndarray, right: np.ndarray, roots: list[bytes], size: int) -
     return [tuple(r) for r in both.tolist()]
 
 
+def crossings(rows: DataFrame, largest: int) -> DataFrame:
+    """Rows of buckets, (bucket, part, content, sketch, words, side): those of a bucket of ``k`` over ``largest`` go to every two of its parts that they are in."""
+    n = F.when(F.col("k") > largest, F.ceil(F.col("k") / max(1, largest // 2))).otherwise(F.lit(1)).cast("long")
+    dealt = rows.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("content", "bucket"), F.col("_n")))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    part = F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other")
+    return met.select("bucket", part.alias("part"), "content", "sketch", "words", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+
+
 def _candidates(members: DataFrame, second: bool, threshold: float, least: float, size: int = 256) -> DataFrame:
     """What each bucket has to verify; rows come sorted by bucket and part, and a part is held in memory.
 
     First a spanning forest, as pairs (hub, member). Second, by classes (root), the rows of pairs that join different ones, dealt
-    to blocks: (bucket, part, pair, content, root). So a bucket never gives out its pairs, only its rows.
+    to blocks: (bucket, part, pair, content, root). So a bucket never gives out its pairs, only its rows. A part with rows of both
+    sides compares one side with the other.
     """
-    names = ["bucket", "part", "content", "sketch", "words", *(["root"] if second else [])]
+    names = ["bucket", "part", "content", "sketch", "words", *(["root", "side"] if second else [])]
     schema = "bucket long, part long, pair long, content binary, root binary" if second else "hub binary, member binary"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if second else [pa.binary(), pa.binary()]
     fields = [c.split()[0] for c in schema.split(", ")]
 
     def found(rows: list[tuple]) -> list[tuple]:
-        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
+        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[6], r[2]) if second else r[2])
         if len(own) < 2 or (second and len({r[5] or r[2] for r in own}) < 2):
             return []
         sketches = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(len(own), -1)
-        est, left, right = alike(sketches, np.array([r[4] for r in own]), threshold, least)
+        cut = sum(r[6] == 0 for r in own) % len(own) if second else 0
+        est, left, right = alike(sketches, np.array([r[4] for r in own]), threshold, least, cut)
         if not len(est):
             return []
         if not second:
@@ -401,7 +413,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     band with probability 1 - (1 - s^per_band)^bands, 0.99996 at 0.8 with these parameters; pairs whose samples agree in a
     share 3.6 standard deviations below the threshold or less are not verified.
 
-    A bucket of more than ``largest`` different texts is split by hash into parts, each with the same texts, of every ``hubs``-th by hash the one that meets most others, through which its parts are joined.
+    A bucket of more than ``largest`` different texts is split by hash. First into parts that all have the same texts, of every
+    ``hubs``-th by hash the one that meets most others, so what is like one of them is one class early. Then into parts of half
+    that size that meet two by two, each two in a task: every pair of the bucket is looked at whose classes still differ.
 
     Null text has no words. Ids are whole numbers. Repeated rows are copies. An empty table gives no rows. Other columns are
     ignored.
@@ -443,17 +457,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     split = met.where(F.col("k") > largest)
     if split.isEmpty():
         members = rows.select("bucket", F.lit(0).cast("long").alias("part"), "content", "sketch", "words")
+        crossed = members.withColumn("side", F.lit(0))
     else:
         popular = split.join(met.groupBy("content").agg(F.sum("k").alias("met")), "content").groupBy("bucket", "k", F.pmod(F.xxhash64("content"), F.lit(hubs))).agg(F.max(F.struct("met", "content")).alias("top"))
         everywhere = popular.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "top.content")
         members = rows.select("bucket", F.pmod(F.xxhash64("content", "bucket"), parts).alias("part"), "content", "sketch", "words")
         members = members.unionByName(everywhere.join(exact.select("content", "sketch", "words"), "content").select("bucket", "part", "content", "sketch", "words"))
+        crossed = crossings(rows, largest)
     one = met.select("content").distinct().join(exact.select("content", "head._id", "head._h"), "content")
     texts = settle(source.join(one, source["_id"].eqNullSafe(one["_id"]) & (source["_h"] == one["_h"])).groupBy("content").agg(F.first("_text").alias("_text")))
     pairs = _candidates(members, False, threshold, least)
     links = _verify(pairs, texts, weights, width, threshold, block)
     roots = components(links)
-    known = members.join(roots.select(F.col("id").alias("content"), "root"), "content", "left")
+    known = crossed.join(roots.select(F.col("id").alias("content"), "root"), "content", "left")
     more = _verify_blocks(_candidates(known, True, threshold, least), texts, weights, width, threshold)
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))

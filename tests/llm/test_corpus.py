@@ -173,6 +173,28 @@ def test_near_duplicates(spark, docs, texts, largest):
     assert all(r.class_size == sizes[want[k]] and r["keep"] == (want[k] == k) for k, r in got.items())
 
 
+def template_twins(rng, n=60):
+    """Strangers around one template (a likeness of about 0.75), each with a twin (0.9)."""
+    template = [f"t{k}" for k in range(230)]
+    out = {}
+    for k in range(n):
+        own = rng.choices(template, k=32)
+        twin = own[:-10] + rng.choices(template, k=10)
+        out[2 * k], out[2 * k + 1] = " ".join(template + own), " ".join(template + twin)
+    order = list(out.values())
+    rng.shuffle(order)
+    return dict(enumerate(order))
+
+
+def test_near_duplicates_in_split_buckets_are_all_found(spark):
+    data = template_twins(random.Random(3))
+    table = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(table, largest=4, hubs=1).collect()}
+    want = plain_classes(data)
+    assert len(set(want.values())) == 60
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     twice = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "A b c d e f"), (3, None), (4, "")], "doc_id long, text string")
     got = neardup.near_duplicates(twice).collect()
