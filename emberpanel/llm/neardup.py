@@ -194,10 +194,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def estimates(sketches: np.ndarray, sizes: np.ndarray, at: int, threshold: float, start: int) -> np.ndarray:
-    """Shares of equal samples between row ``at`` and the rows from ``start``; 0 where their numbers of words rule out ``threshold``."""
+    """Shares of equal samples between row ``at`` and the rows from ``start``; 0 where ``sizes`` (rows of words and TF-IDF weight) rule out ``threshold`` both ways."""
     out = (sketches[start:] == sketches[at]).mean(1)
     small, large = np.minimum(sizes[start:], sizes[at]), np.maximum(sizes[start:], sizes[at])
-    return np.where(small + 8 >= threshold * large, out, 0.0)
+    fits = (small[:, 0] + 8 >= threshold * large[:, 0]) | (small[:, 1] >= (threshold - 1e-6) * large[:, 1])
+    return np.where(fits, out, 0.0)
 
 
 def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float, least: float, cut: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,12 +256,12 @@ def blocks(left: np.ndarray, right: np.ndarray, roots: list[bytes], size: int) -
 
 
 def crossings(rows: DataFrame, largest: int) -> DataFrame:
-    """Rows of buckets, (bucket, part, content, sketch, words, side): those of a bucket of ``k`` over ``largest`` go to every two of its parts that they are in."""
+    """Rows of buckets, (bucket, part, content, sketch, words, mass, side): those of a bucket of ``k`` over ``largest`` go to every two of its parts that they are in."""
     n = F.when(F.col("k") > largest, F.ceil(F.col("k") / max(1, largest // 2))).otherwise(F.lit(1)).cast("long")
     dealt = rows.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("content", "bucket"), F.col("_n")))
     met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     part = F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other")
-    return met.select("bucket", part.alias("part"), "content", "sketch", "words", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    return met.select("bucket", part.alias("part"), "content", "sketch", "words", "mass", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
 
 
 def _candidates(members: DataFrame, second: bool, threshold: float, least: float, size: int = 256) -> DataFrame:
@@ -270,23 +271,23 @@ def _candidates(members: DataFrame, second: bool, threshold: float, least: float
     to blocks: (bucket, part, pair, content, root). So a bucket never gives out its pairs, only its rows. A part with rows of both
     sides compares one side with the other.
     """
-    names = ["bucket", "part", "content", "sketch", "words", *(["root", "side"] if second else [])]
+    names = ["bucket", "part", "content", "sketch", "words", "mass", *(["root", "side"] if second else [])]
     schema = "bucket long, part long, pair long, content binary, root binary" if second else "hub binary, member binary"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if second else [pa.binary(), pa.binary()]
     fields = [c.split()[0] for c in schema.split(", ")]
 
     def found(rows: list[tuple]) -> list[tuple]:
-        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[6], r[2]) if second else r[2])
-        if len(own) < 2 or (second and len({r[5] or r[2] for r in own}) < 2):
+        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[7], r[2]) if second else r[2])
+        if len(own) < 2 or (second and len({r[6] or r[2] for r in own}) < 2):
             return []
         sketches = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(len(own), -1)
-        cut = sum(r[6] == 0 for r in own) % len(own) if second else 0
-        est, left, right = alike(sketches, np.array([r[4] for r in own]), threshold, least, cut)
+        cut = sum(r[7] == 0 for r in own) % len(own) if second else 0
+        est, left, right = alike(sketches, np.array([r[4:6] for r in own], float), threshold, least, cut)
         if not len(est):
             return []
         if not second:
             return [(own[x][2], own[y][2]) for x, y in forest(est, left, right, len(own), threshold)]
-        roots = [r[5] or r[2] for r in own]
+        roots = [r[6] or r[2] for r in own]
         return [(own[0][0], own[0][1], pair, own[x][2], roots[x]) for pair, x in blocks(left, right, roots, size)]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
@@ -427,42 +428,44 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         trim_cache()
-        contents, words, sketches, found = [], [], [], []
+        contents, words, mass, sketches, found = [], [], [], [], []
         salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for text in strings(batch, "_text"):
             hashes = word_hashes(text)
             contents.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
             words.append(len(hashes))
+            shingles, weight, _ = weighted_shingles(hashes, weights, width)
+            mass.append(float(weight.sum()))
             if not len(hashes):
                 sketches.append(b"")
                 found.append([])
                 continue
-            chosen = sampler.sample(*weighted_shingles(hashes, weights, width)[:2])
+            chosen = sampler.sample(shingles, weight)
             sketches.append(_mixed(chosen).astype(np.uint16).tobytes())
             key, chosen = salts, chosen.reshape(bands, per_band)
             for k in range(per_band):
                 key = _mixed(key ^ chosen[:, k])
             found.append(key.view(np.int64))
-        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, k) for c, k in zip((contents, words, sketches, found), kinds, strict=True))], names=["_id", "_h", "content", "words", "sketch", "bands"])
+        kinds = (pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, k) for c, k in zip((contents, words, mass, sketches, found), kinds, strict=True))], names=["_id", "_h", "content", "words", "mass", "sketch", "bands"])
 
-    signed = settle(arrow_map(source, "_id long, _h long, content binary, words int, sketch binary, bands array<long>", sign).withColumn("_row", F.monotonically_increasing_id()))
+    signed = settle(arrow_map(source, "_id long, _h long, content binary, words int, mass double, sketch binary, bands array<long>", sign).withColumn("_row", F.monotonically_increasing_id()))
     head = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_h")).alias("head")
-    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), F.first("words").alias("words"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), F.first("words").alias("words"), F.first("mass").alias("mass"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     keys = exact.select("content", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     met = settle(keys.join(shared, "bucket").select("content", "bucket", "k"))
-    rows = met.join(exact.select("content", "words", "sketch"), "content")
+    rows = met.join(exact.select("content", "words", "mass", "sketch"), "content")
     parts = F.ceil(F.col("k") / largest)
     split = met.where(F.col("k") > largest)
     if split.isEmpty():
-        members = rows.select("bucket", F.lit(0).cast("long").alias("part"), "content", "sketch", "words")
+        members = rows.select("bucket", F.lit(0).cast("long").alias("part"), "content", "sketch", "words", "mass")
         crossed = members.withColumn("side", F.lit(0))
     else:
         popular = split.join(met.groupBy("content").agg(F.sum("k").alias("met")), "content").groupBy("bucket", "k", F.pmod(F.xxhash64("content"), F.lit(hubs))).agg(F.max(F.struct("met", "content")).alias("top"))
         everywhere = popular.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "top.content")
-        members = rows.select("bucket", F.pmod(F.xxhash64("content", "bucket"), parts).alias("part"), "content", "sketch", "words")
-        members = members.unionByName(everywhere.join(exact.select("content", "sketch", "words"), "content").select("bucket", "part", "content", "sketch", "words"))
+        members = rows.select("bucket", F.pmod(F.xxhash64("content", "bucket"), parts).alias("part"), "content", "sketch", "words", "mass")
+        members = members.unionByName(everywhere.join(exact.select("content", "sketch", "words", "mass"), "content").select("bucket", "part", "content", "sketch", "words", "mass"))
         crossed = crossings(rows, largest)
     one = met.select("content").distinct().join(exact.select("content", "head._id", "head._h"), "content")
     texts = settle(source.join(one, source["_id"].eqNullSafe(one["_id"]) & (source["_h"] == one["_h"])).groupBy("content").agg(F.first("_text").alias("_text")))

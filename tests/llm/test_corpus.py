@@ -195,6 +195,18 @@ def test_near_duplicates_in_split_buckets_are_all_found(spark):
     assert got == want
 
 
+def test_near_duplicates_with_a_tail_of_frequent_words(spark):
+    rng = random.Random(4)
+    data = {k: " ".join([f"r{k}_{x}" for x in range(100)] + rng.choices("the of and to in".split(), k=20)) for k in range(40)}
+    data |= {100 + k: data[k] + " " + " ".join(rng.choices("the of and to in".split(), k=50)) for k in range(40)}
+    table = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    weights = neardup.word_weights(table.select(F.col("text").alias("_text")), 256)
+    sets = {k: neardup.weighted_shingles(neardup.word_hashes(t), weights, 5) for k, t in data.items()}
+    assert all(neardup.weighted_jaccard(sets[k], sets[100 + k]) >= 0.8 for k in range(40))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()}
+    assert got == {k: k % 100 for k in data}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     twice = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "A b c d e f"), (3, None), (4, "")], "doc_id long, text string")
     got = neardup.near_duplicates(twice).collect()
