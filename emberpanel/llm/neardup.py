@@ -1,4 +1,4 @@
-"""Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
+"""Near-duplicate documents: consistent sampling of shingles by TF-IDF weights and by counts, banded, verified by weighted Jaccard.
 
 A shingle is five words; its weight is its count times the mean inverse document frequency of its words, so a passage copied
 often is not discounted for being copied. Document frequencies are counted over all documents; only those of frequent words differ from
@@ -109,6 +109,28 @@ class Sampler:
             best = own if best is None else [np.where(own[0] < best[0], x, y) for x, y in zip(own, best, strict=True)]
         return best[1] + best[2] * _MIX
 
+    def sample_counts(self, shingles: np.ndarray, times: np.ndarray, block: int = 4096) -> np.ndarray:
+        """The chosen occurrence of each sample by counts alone, as a 64-bit hash: a shingle that is there t times is t items, all alike likely."""
+        items = shingles
+        if len(items) and times.max() > 1:
+            n = times.astype(np.int64)
+            again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            items = np.repeat(shingles, n)
+            items = np.where(again > 0, _mixed(items + again.astype(np.uint64) * _MIX), items)
+        best, chosen = None, None
+        for at in range(0, len(items), block):
+            own = items[at : at + block]
+            cost = (own.astype(np.uint32) ^ self.salt) * self.second
+            cost ^= cost >> np.uint32(15)
+            cost += (own >> np.uint64(32)).astype(np.uint32)
+            cost *= self.first
+            cost ^= cost >> np.uint32(16)
+            where = cost.argmin(1)
+            least, found = cost[np.arange(len(where)), where], own[where]
+            chosen = found if best is None else np.where(least < best, found, chosen)
+            best = least if best is None else np.minimum(least, best)
+        return chosen
+
     def _block(self, shingles: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         log_w = np.log(weight).astype(np.float32)
         low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
@@ -194,8 +216,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def estimates(sketches: np.ndarray, sizes: np.ndarray, at: int, threshold: float, start: int) -> np.ndarray:
-    """Shares of equal samples between row ``at`` and the rows from ``start``; 0 where ``sizes`` (rows of words and TF-IDF weight) rule out ``threshold`` both ways."""
-    out = (sketches[start:] == sketches[at]).mean(1)
+    """Shares of equal samples by weights or by counts (the sketch's halves), whichever is higher, between row ``at`` and the rows from ``start``; 0 where ``sizes`` (rows of words and TF-IDF weight) rule out ``threshold`` both ways."""
+    same, half = sketches[start:] == sketches[at], sketches.shape[1] // 2
+    out = np.maximum(same[:, :half].mean(1), same[:, half:].mean(1))
     small, large = np.minimum(sizes[start:], sizes[at]), np.maximum(sizes[start:], sizes[at])
     fits = (small[:, 0] + 8 >= threshold * large[:, 0]) | (small[:, 1] >= (threshold - 1e-6) * large[:, 1])
     return np.where(fits, out, 0.0)
@@ -410,9 +433,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``id_col``, class_id, class_size and keep of each document: its near-duplicate class, and whether it is the one to keep.
 
     ``class_id`` is the least id of the class (null if it has none); the class's first row of that id is kept. Words are lower-cased
-    and split at white space. Documents of equal words are one class, those without words too. A pair of similarity s meets in a
-    band with probability 1 - (1 - s^per_band)^bands, 0.99996 at 0.8 with these parameters; pairs whose samples agree in a
-    share 3.6 standard deviations below the threshold or less are not verified.
+    and split at white space. Documents of equal words are one class, those without words too. There are ``bands`` bands of samples
+    by TF-IDF weights and as many by counts. A pair of similarity s by either meets in a band of that kind with probability
+    1 - (1 - s^per_band)^bands, 0.99996 at 0.8 with these parameters; pairs whose samples of both kinds agree in a share 3.6
+    standard deviations below the threshold or less are not verified.
 
     A bucket of more than ``largest`` different texts is split by hash. First into parts that all have the same texts, of every
     ``hubs``-th by hash the one that meets most others, so what is like one of them is one class early. Then into parts of half
@@ -429,20 +453,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         trim_cache()
         contents, words, mass, sketches, found = [], [], [], [], []
-        salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        salts = np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for text in strings(batch, "_text"):
             hashes = word_hashes(text)
             contents.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
             words.append(len(hashes))
-            shingles, weight, _ = weighted_shingles(hashes, weights, width)
+            shingles, weight, times = weighted_shingles(hashes, weights, width)
             mass.append(float(weight.sum()))
             if not len(hashes):
                 sketches.append(b"")
                 found.append([])
                 continue
-            chosen = sampler.sample(shingles, weight)
+            chosen = np.concatenate((sampler.sample(shingles, weight), sampler.sample_counts(shingles, times)))
             sketches.append(_mixed(chosen).astype(np.uint16).tobytes())
-            key, chosen = salts, chosen.reshape(bands, per_band)
+            key, chosen = salts, chosen.reshape(2 * bands, per_band)
             for k in range(per_band):
                 key = _mixed(key ^ chosen[:, k])
             found.append(key.view(np.int64))

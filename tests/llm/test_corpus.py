@@ -207,6 +207,27 @@ def test_near_duplicates_with_a_tail_of_frequent_words(spark):
     assert got == {k: k % 100 for k in data}
 
 
+def test_near_duplicates_that_differ_in_rare_words(spark):
+    rng = random.Random(6)
+    common = [f"c{k}" for k in range(30)]
+    data = {k: " ".join(rng.choices(common, k=124)) for k in range(100)}
+    data |= {1000 + k: data[k] + " " + " ".join(f"x{k}_{x}" for x in range(29)) for k in range(100)}
+    data |= {2000 + k: " ".join(rng.choices(common, k=40)) for k in range(800)}
+    table = spark.createDataFrame(list(data.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(table).collect()}
+    assert got == {k: k - 1000 if 1000 <= k < 2000 else k for k in data}
+
+
+def test_samples_by_counts_estimate_similarity():
+    rng = np.random.default_rng(0)
+    sampler = neardup.Sampler(400)
+    keys, times = np.sort(rng.integers(0, 2**63, 300, np.uint64)), rng.integers(1, 4, 300).astype(float)
+    a, b = np.s_[:220], np.s_[80:]
+    true = times[80:220].sum() / times.sum()
+    assert abs((sampler.sample_counts(keys[a], times[a]) == sampler.sample_counts(keys[b], times[b])).mean() - true) < 0.1
+    assert abs((sampler.sample_counts(keys, times) == sampler.sample_counts(keys, np.ones(300))).mean() - 300 / times.sum()) < 0.1
+
+
 def test_near_duplicates_of_odd_rows(spark):
     twice = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "A b c d e f"), (3, None), (4, "")], "doc_id long, text string")
     got = neardup.near_duplicates(twice).collect()
