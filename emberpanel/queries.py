@@ -628,13 +628,13 @@ def realized_measure_schema(spark, sf_dir):
 
 # Models in grouped-map kernels ----------------------------------------------------------------------------------------------
 
-KERNEL = backtest.BacktestConfig(horizons=HORIZONS, scheme="rolling", min_train=500, refit_frequency=21)
-SLOW = backtest.BacktestConfig(horizons=HORIZONS, scheme="rolling", min_train=500, refit_frequency=500)
+#: Models are fitted anew at every origin, as by the reference's default.
+KERNEL = backtest.BacktestConfig(horizons=HORIZONS, scheme="rolling", min_train=500, refit_frequency=1)
 
 
 def _kernel(spark, sf_dir, models, config, exog=(), rows=None):
     rows = vol_panel_of(spark, sf_dir) if rows is None else rows
-    raw = backtest.run_backtest(rows, "rv_gk", models, config, exog, origins_per_task=504)
+    raw = backtest.run_backtest(rows, "rv_gk", models, config, exog, origins_per_task=63)
     out = backtest.results(raw)
     return out.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in out.columns])
 
@@ -660,17 +660,17 @@ def ewma_backtest(spark, sf_dir):
 
 @query()
 def mem_backtest(spark, sf_dir):
-    return _kernel(spark, sf_dir, {"mem": forecasters.MEM}, SLOW)
+    return _kernel(spark, sf_dir, {"mem": forecasters.MEM}, KERNEL)
 
 
 @query()
 def arma_backtest(spark, sf_dir):
-    return _kernel(spark, sf_dir, {"arma": forecasters.ARMA}, SLOW)
+    return _kernel(spark, sf_dir, {"arma": forecasters.ARMA}, KERNEL)
 
 
 @query()
 def arfima_backtest(spark, sf_dir):
-    return _kernel(spark, sf_dir, {"arfima": forecasters.ARFIMA}, SLOW)
+    return _kernel(spark, sf_dir, {"arfima": forecasters.ARFIMA}, KERNEL)
 
 
 @query()

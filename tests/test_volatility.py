@@ -425,3 +425,15 @@ def test_command_lines(spark, tmp_path):
     args = ["replicate", "--archive-root", str(root), "--start", "2019-01-01", "--end", "2030-01-01", "--window-size", "300", "--refit", "30", "--horizons", "1", "--no-slow-models", "--no-mem", "--bootstrap", "20", "--output-dir", f"{out}/rep"]
     assert cli.main(args, spark) == 0
     assert spark.read.csv(f"{out}/rep/comparison", header=True).where("model = 'log_har'").first().published_ratio == "1.0"
+
+
+def test_mem_backtest_refits_at_every_origin(spark, monkeypatch):
+    some = queries.vol_panel_of(spark, "/root/testdata/sf0.001").where("ticker = 'A' and rv_gk is not null").orderBy("date").limit(530)
+    monkeypatch.setattr(queries, "vol_panel_of", lambda spark, sf_dir: some)
+    got = queries.QUERIES["mem_backtest"](spark, "").where("horizon = 1").toPandas().sort_values("origin_date")
+    y = backtest.series(some, "rv_gk").toPandas().sort_values("pos")["y"].to_numpy(float)
+    for k in (1, len(got) - 1):
+        model = forecasters.MEM()
+        p = 499 + k
+        model.fit(y[max(0, p + 1 - queries.KERNEL.window) : p + 1], {})
+        assert got["forecast"].iloc[k] == pytest.approx(model.forecast(1)[0], abs=2e-8)
