@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,16 +18,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage: write the rows as Parquet to the shared checkpoint folder and read them back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is set only where
-    that is unset, as in local tests.
+    A table is written rather than an RDD checkpointed, as the latter hands on the size estimates of its plan, which double their
+    digits with every join of a loop. The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a local session (as in tests) gets a temporary one; a cluster has none that all its machines share, so there it is an error.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hot_keys(counted: DataFrame, key: str, count: str, total: int, share: int = 256) -> list:
+    """Keys with more than one in ``share`` of ``total`` rows, so fewer than ``share``; ``counted`` has a row a key."""
+    return [r[0] for r in counted.where(F.col(key).isNotNull() & (F.col(count) * share > total)).select(key).collect()]
+
+
+def hot_join(rows: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, places: int = 4096) -> DataFrame:
+    """Left join with ``right``, which has a row a key. Rows of ``hot`` keys stay where ``spread`` puts them and get theirs by broadcast."""
+    if not hot:
+        return rows.join(right, key, "left")
+    values = [c for c in right.columns if c != key]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(right.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_few")))
+    cold = right.where(~is_hot).select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_place"), F.struct(*values).alias("_many"))
+    dealt = rows.withColumns({"_cold": F.when(~is_hot, F.col(key)), "_place": F.when(is_hot, F.pmod(spread, F.lit(places))).otherwise(0).cast("long")})
+    out = dealt.join(cold, ["_cold", "_place"], "left").join(few, F.col(key) == F.col("_hot"), "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col("_few")[c], F.col("_many")[c]).alias(c) for c in values])
 
 
 #: Rows of an Arrow batch between Spark and Python: texts are long, and both sides hold a batch.

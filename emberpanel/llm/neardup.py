@@ -6,8 +6,8 @@ the ceiling, and how many such words there can be has a bound that does not grow
 
 Texts of equal words are one class from the start and go on as one text. Bands of samples make buckets. A bucket proposes a
 spanning forest of the pairs whose samples agree enough, not all pairs: what the forest links needs no other check. Where such
-pairs still join different classes after the forest is verified, their rows meet in blocks that compare all of them by matrix
-products. Classes are the connected components of the verified links.
+pairs still join different classes after the forest is verified, their rows meet once in blocks, whatever the number of buckets
+they share, and blocks compare all of them by matrix products. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -21,163 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import arrow_map, hold, settle, ship, strings
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """64-bit hash of a word; at most ``LIMIT`` words are kept."""
-
-    LIMIT = 150_000
-
-    def __missing__(self, word: str) -> int:
-        out = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[word] = out
-        return out
-
-
-_HASHES = WordHashes()
-
-
-def trim_cache() -> None:
-    hold("neardup", _HASHES.clear)
-    if len(_HASHES) > WordHashes.LIMIT:
-        _HASHES.clear()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * _MIX
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
-class Weights:
-    """Inverse document frequency 1 + ln(n / df) of words; ``frequent`` has those below the ceiling, by the word's hash."""
-
-    def __init__(self, frequent: dict[int, float], ceiling: float):
-        order = sorted(frequent)
-        self.keys, self.values, self.ceiling = np.array(order, np.uint64), np.array([frequent[k] for k in order]), ceiling
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashes), self.ceiling)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.values[at], self.ceiling)
-
-
-def weighted_shingles(hashes: np.ndarray, weights: Weights, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles in order of their hash, their TF-IDF weights and their counts; a shorter text is one shingle."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    n = min(width, len(hashes))
-    count = len(hashes) - n + 1
-    key, idf = np.zeros(count, np.uint64), np.zeros(count)
-    own = weights.of(hashes)
-    for k in range(n):
-        key = _mixed(key ^ hashes[k : k + count]) + np.uint64(k)
-        idf += own[k : k + count]
-    distinct, first, times = np.unique(key, return_index=True, return_counts=True)
-    return distinct, times * (idf[first] / n), times.astype(float)
-
-
-class Sampler:
-    """Improved consistent weighted sampling with ``n`` samples; a shingle's random draws come from tables by bits of its hash.
-
-    Draws are 32 bits wide, so that one pass over (samples, shingles) stays in vector registers; equal minima go to the least
-    shingle, which keeps the samples consistent.
-    """
-
-    def __init__(self, n: int, seed: int = 20_240_601):
-        quantile = lambda bits: np.array([_gamma2_quantile((k + 0.5) / (1 << bits)) for k in range(1 << bits)])
-        r = quantile(12)
-        self.r, self.over_r, self.log_c = r.astype(np.float32), (1 / r).astype(np.float32), np.log(quantile(16)).astype(np.float32)
-        rng = np.random.default_rng(seed)
-        salt, first, second = rng.integers(0, 2**32, (3, n, 1), np.uint32)
-        self.salt, self.first, self.second = salt, first | np.uint32(1), second | np.uint32(1)
-
-    def sample(self, shingles: np.ndarray, weight: np.ndarray, block: int = 4096) -> np.ndarray:
-        """The chosen (shingle, level) of each sample as a 64-bit hash."""
-        best = None
-        for at in range(0, len(shingles), block):
-            own = self._block(shingles[at : at + block], weight[at : at + block])
-            best = own if best is None else [np.where(own[0] < best[0], x, y) for x, y in zip(own, best, strict=True)]
-        return best[1] + best[2] * _MIX
-
-    def sample_counts(self, shingles: np.ndarray, times: np.ndarray, block: int = 4096) -> np.ndarray:
-        """The chosen occurrence of each sample by counts alone, as a 64-bit hash: a shingle that is there t times is t items, all alike likely."""
-        items = shingles
-        if len(items) and times.max() > 1:
-            n = times.astype(np.int64)
-            again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            items = np.repeat(shingles, n)
-            items = np.where(again > 0, _mixed(items + again.astype(np.uint64) * _MIX), items)
-        best, chosen = None, None
-        for at in range(0, len(items), block):
-            own = items[at : at + block]
-            cost = (own.astype(np.uint32) ^ self.salt) * self.second
-            cost ^= cost >> np.uint32(15)
-            cost += (own >> np.uint64(32)).astype(np.uint32)
-            cost *= self.first
-            cost ^= cost >> np.uint32(16)
-            where = cost.argmin(1)
-            least, found = cost[np.arange(len(where)), where], own[where]
-            chosen = found if best is None else np.where(least < best, found, chosen)
-            best = least if best is None else np.minimum(least, best)
-        return chosen
-
-    def _block(self, shingles: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        log_w = np.log(weight).astype(np.float32)
-        low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-        a = (low ^ self.salt) * self.first
-        a ^= a >> np.uint32(15)
-        a *= np.uint32(0x85EBCA6B)
-        a ^= a >> np.uint32(13)
-        b = (high + a) * self.second
-        b ^= b >> np.uint32(16)
-        beta = (a & np.uint32(0xFFFFF)).astype(np.float32)
-        beta *= np.float32(2**-20)
-        a >>= np.uint32(20)
-        level = log_w * self.over_r[a]
-        level += beta
-        np.floor(level, out=level)
-        height = level - beta
-        height += np.float32(1)
-        height *= self.r[a]
-        cost = self.log_c[b >> np.uint32(16)]
-        cost -= height
-        at = cost.argmin(1)
-        rows = np.arange(len(at))
-        return [cost[rows, at], shingles[at], level[rows, at].astype(np.int64).astype(np.uint64)]
-
-
-def _gamma2_quantile(u: float) -> float:
-    """Quantile of Gamma(2, 1): the x with 1 - (1 + x) exp(-x) = u, by bisection."""
-    low, high = 0.0, 60.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if 1 - (1 + mid) * math.exp(-mid) < u else (low, mid)
-    return (low + high) / 2
-
-
-def weighted_jaccard(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
-    """Weighted Jaccard similarity of two texts' shingles: by TF-IDF or by counts alone, whichever is higher.
-
-    So a pair of similarity 0.8 in plain shingles is linked however rare the words are in which it differs.
-    """
-    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
-    shared = a[0][at] == b[0]
-    out = 0.0
-    for wa, wb in zip(a[1:], b[1:], strict=True):
-        low = np.minimum(wa[at[shared]], wb[shared]).sum()
-        out = max(out, float(low / (wa.sum() + wb.sum() - low)))
-    return out
-
+from emberpanel.llm.common import arrow_map, hot_join, hot_keys, settle, ship, strings
+from emberpanel.llm.shingles import Sampler, Shingles, Weights, distinct_counts, mixed, shingles_of, weighted_jaccard, weighted_shingles, word_lines
 
 def word_weights(source: DataFrame, ceiling_share: int) -> Weights:
     """Count each word's documents over the whole table.
@@ -187,9 +32,7 @@ def word_weights(source: DataFrame, ceiling_share: int) -> Weights:
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        trim_cache()
-        own = [np.unique(word_hashes(t)) for t in strings(batch, "_text")]
-        words, times = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        words, times = distinct_counts(strings(batch, "_text"))
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], names=["word", "n"])
 
     n = source.count()
@@ -224,15 +67,14 @@ def estimates(sketches: np.ndarray, sizes: np.ndarray, at: int, threshold: float
     return np.where(fits, out, 0.0)
 
 
-def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float, least: float, cut: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(estimate, row, later row) of the pairs of a bucket's rows whose estimate is at least ``least``; with ``cut``, of rows before it with rows from it on."""
-    parts = []
+def alike(sketches: np.ndarray, sizes: np.ndarray, threshold: float, least: float, cut: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, later rows, estimates) of a bucket's pairs whose estimate is at least ``least``; with ``cut``, of rows before it with rows from it on."""
     for k in range(cut or len(sketches) - 1):
         start = cut or k + 1
         est = estimates(sketches, sizes, k, threshold, start)
         near = np.flatnonzero(est >= least)
-        parts.append((est[near].astype(np.float32), np.full(len(near), k, np.int32), (near + start).astype(np.int32)))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        if len(near):
+            yield k, near + start, est[near]
 
 
 def forest(est: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, threshold: float) -> list[tuple[int, int]]:
@@ -258,60 +100,68 @@ def forest(est: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, thresho
     return out
 
 
-def blocks(left: np.ndarray, right: np.ndarray, roots: list[bytes], size: int) -> list[tuple[int, int]]:
-    """(block pair, row) of the rows with a pair between different classes, in blocks of ``size`` rows that keep classes together.
-
-    A pair of blocks has only rows with such a pair in it; two blocks of one class have none.
-    """
-    names = {r: k for k, r in enumerate(sorted(set(roots)))}
-    own = np.array([names[r] for r in roots])
-    apart = own[left] != own[right]
-    left, right = left[apart], right[apart]
-    used = np.unique(np.concatenate((left, right)))
-    counts = np.bincount(own)
-    used = used[np.lexsort((used, own[used], -counts[own[used]]))]
-    block = np.zeros(len(roots), np.int64)
-    block[used] = np.arange(len(used)) // size
-    x, y = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
-    pair = x * 4096 + y
-    both = np.unique(np.concatenate((np.stack((pair, left), 1), np.stack((pair, right), 1))), axis=0)
-    return [tuple(r) for r in both.tolist()]
-
-
 def crossings(rows: DataFrame, largest: int) -> DataFrame:
-    """Rows of buckets, (bucket, part, content, sketch, words, mass, side): those of a bucket of ``k`` over ``largest`` go to every two of its parts that they are in."""
+    """Rows of buckets with part and side: those of a bucket of ``k`` over ``largest`` go to every two of its parts that they are in."""
     n = F.when(F.col("k") > largest, F.ceil(F.col("k") / max(1, largest // 2))).otherwise(F.lit(1)).cast("long")
     dealt = rows.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("content", "bucket"), F.col("_n")))
     met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     part = F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other")
-    return met.select("bucket", part.alias("part"), "content", "sketch", "words", "mass", (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    return met.withColumn("part", part).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("k", "_n", "_own", "_other")
 
 
-def _candidates(members: DataFrame, second: bool, threshold: float, least: float, size: int = 256) -> DataFrame:
+def _proposals(rows: list[tuple], threshold: float, least: float) -> list[tuple]:
+    """(hub, member) of a spanning forest of the pairs that are alike enough; rows are (bucket, part, content, sketch, words, mass)."""
+    own = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
+    sketches = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(len(own), -1)
+    found = list(alike(sketches, np.array([r[4:6] for r in own], float), threshold, least))
+    if not found:
+        return []
+    left = np.repeat([k for k, _, _ in found], [len(near) for _, near, _ in found]).astype(np.int32)
+    right, est = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+    return [(own[x][2], own[y][2]) for x, y in forest(est, left, right, len(own), threshold)]
+
+
+def _still_apart(rows: list[tuple], threshold: float, least: float) -> list[tuple]:
+    """(component, low block, high block, content, root) of the rows of pairs that are alike enough and of different classes (root).
+
+    Rows are (bucket, part, content, sketch, words, mass, root, side, component, block). A pair counts for the blocks of its rows,
+    which are the same in every bucket; each row of it is given out once for those blocks.
+    """
+    own = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[7], r[2]))
+    if len({r[6] for r in own}) < 2:
+        return []
+    names = {r: k for k, r in enumerate(sorted({r[6] for r in own}))}
+    classes = np.array([names[r[6]] for r in own])
+    places = sorted({r[8:10] for r in own})
+    index = {p: k for k, p in enumerate(places)}
+    block = np.array([index[r[8:10]] for r in own])
+    met = np.zeros((len(own), len(places)), bool)
+    sketches = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(len(own), -1)
+    for k, near, _ in alike(sketches, np.array([r[4:6] for r in own], float), threshold, least, sum(r[7] == 0 for r in own) % len(own)):
+        near = near[classes[near] != classes[k]]
+        met[k, block[near]] = True
+        met[near, block[k]] = True
+    out = []
+    for k, other in zip(*(x.tolist() for x in np.nonzero(met)), strict=True):
+        low, high = sorted((own[k][9], places[other][1]))
+        out.append((own[k][8], low, high, own[k][2], own[k][6]))
+    return out
+
+
+def _candidates(members: DataFrame, second: bool, threshold: float, least: float) -> DataFrame:
     """What each bucket has to verify; rows come sorted by bucket and part, and a part is held in memory.
 
-    First a spanning forest, as pairs (hub, member). Second, by classes (root), the rows of pairs that join different ones, dealt
-    to blocks: (bucket, part, pair, content, root). So a bucket never gives out its pairs, only its rows. A part with rows of both
-    sides compares one side with the other.
+    First a spanning forest, as pairs (hub, member). Second, the rows of pairs that join different classes, dealt to pairs of blocks:
+    (component, low, high, content, root). So a bucket never gives out its pairs, only its rows, and what several buckets find is
+    one. A part with rows of both sides compares one side with the other.
     """
-    names = ["bucket", "part", "content", "sketch", "words", "mass", *(["root", "side"] if second else [])]
-    schema = "bucket long, part long, pair long, content binary, root binary" if second else "hub binary, member binary"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if second else [pa.binary(), pa.binary()]
+    names = ["bucket", "part", "content", "sketch", "words", "mass", *(["root", "side", "component", "block"] if second else [])]
+    schema = "component binary, low long, high long, content binary, root binary" if second else "hub binary, member binary"
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if second else [pa.binary(), pa.binary()]
     fields = [c.split()[0] for c in schema.split(", ")]
 
     def found(rows: list[tuple]) -> list[tuple]:
-        own = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[7], r[2]) if second else r[2])
-        if len(own) < 2 or (second and len({r[6] or r[2] for r in own}) < 2):
-            return []
-        sketches = np.frombuffer(b"".join(r[3] for r in own), np.uint16).reshape(len(own), -1)
-        cut = sum(r[7] == 0 for r in own) % len(own) if second else 0
-        est, left, right = alike(sketches, np.array([r[4:6] for r in own], float), threshold, least, cut)
-        if not len(est):
-            return []
-        if not second:
-            return [(own[x][2], own[y][2]) for x, y in forest(est, left, right, len(own), threshold)]
-        roots = [r[6] or r[2] for r in own]
-        return [(own[0][0], own[0][1], pair, own[x][2], roots[x]) for pair, x in blocks(left, right, roots, size)]
+        return [] if len(rows) < 2 else (_still_apart if second else _proposals)(rows, threshold, least)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
@@ -333,11 +183,19 @@ def _candidates(members: DataFrame, second: bool, threshold: float, least: float
 
     ship(members.sparkSession)
     dealt = members.select(*names).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    made = dealt.mapInArrow(run, schema)
-    return settle(made if second else made.distinct())
+    return settle(dealt.mapInArrow(run, schema).distinct())
+
+
+def in_blocks(proposals: DataFrame, size: int) -> DataFrame:
+    """(content, component, block): components of the proposed pairs, each text in one of as many blocks as hold about ``size`` of them."""
+    found = components(proposals.select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    sizes = settle(found.groupBy(F.col("root").alias("component")).agg(F.count("*").alias("n")))
+    large = hot_keys(sizes, "component", "n", found.count())
+    named = hot_join(found.select(F.col("id").alias("content"), F.col("root").alias("component")), sizes, "component", large, F.xxhash64("content"))
+    return named.select("content", "component", F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / size)).alias("block"))
 
 
-def similarities(sets: list[tuple[np.ndarray, ...]], width: int = 4096) -> np.ndarray:
+def similarities(sets: list[Shingles], width: int = 4096) -> np.ndarray:
     """(n, n) similarities as of ``weighted_jaccard``: shared weights are matrix products over ``width`` shingles at a time."""
     n = len(sets)
     key = np.concatenate([s[0] for s in sets])
@@ -371,24 +229,25 @@ def similarities(sets: list[tuple[np.ndarray, ...]], width: int = 4096) -> np.nd
 
 
 def _verify_blocks(rows: DataFrame, texts: DataFrame, weights: Weights, width: int, threshold: float) -> DataFrame:
-    """Links between classes (a, b are their roots) that some pair within a block pair makes."""
-    dealt = rows.join(texts, "content").repartition("bucket", "part", "pair").sortWithinPartitions("bucket", "part", "pair")
+    """Links between classes (a, b are their roots) that some pair within a pair of blocks makes."""
+    keys = ["component", "low", "high"]
+    dealt = rows.join(texts, "content").repartition(*keys).sortWithinPartitions(*keys)
 
-    def links(roots: list[bytes], sets: list[tuple[np.ndarray, ...]]) -> list[tuple[bytes, bytes]]:
+    def links(roots: list[bytes], sets: list[Shingles]) -> list[tuple[bytes, bytes]]:
         x, y = np.nonzero(np.triu(similarities(sets) >= threshold - 1e-6, 1))
         return sorted({(min(roots[i], roots[j]), max(roots[i], roots[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True) if roots[i] != roots[j]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, roots, sets = None, [], []
         for batch in batches:
-            trim_cache()
             out: list[tuple[bytes, bytes]] = []
-            for bucket, part, pair, root, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "pair", "root", "_text")), strict=True):
-                if (bucket, part, pair) != key:
+            own = shingles_of(strings(batch, "_text"), weights, width)
+            for component, low, high, root, found in zip(*(batch.column(c).to_pylist() for c in (*keys, "root")), own, strict=True):
+                if (component, low, high) != key:
                     out += links(roots, sets) if sets else []
-                    key, roots, sets = (bucket, part, pair), [], []
+                    key, roots, sets = (component, low, high), [], []
                 roots.append(root)
-                sets.append(weighted_shingles(word_hashes(text), weights, width))
+                sets.append(found)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
         out = links(roots, sets) if sets else []
@@ -396,7 +255,7 @@ def _verify_blocks(rows: DataFrame, texts: DataFrame, weights: Weights, width: i
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     ship(rows.sparkSession)
-    return settle(dealt.select("bucket", "part", "pair", "root", "_text").mapInArrow(run, "a binary, b binary").distinct())
+    return settle(dealt.select(*keys, "root", "_text").mapInArrow(run, "a binary, b binary").distinct())
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, width: int, threshold: float, block: int) -> DataFrame:
@@ -415,13 +274,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, width: int, th
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good), pa.binary()), pa.array(good, pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            trim_cache()
-            for hub, part, content, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "content", "_text")), strict=True):
+            own = shingles_of(strings(batch, "_text"), weights, width)
+            for hub, part, content, found in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "content")), own, strict=True):
                 if (hub, part) != key:
                     if key:
                         yield links()
                     key, sets = (hub, part), {}
-                sets[content] = weighted_shingles(word_hashes(text), weights, width)
+                sets[content] = found
         if key:
             yield links()
 
@@ -429,8 +288,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, width: int, th
     return settle(rows.select("hub", "part", "content", "_text").mapInArrow(run, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 14, per_band: int = 3, ceiling_share: int = 256, largest: int = 4096, hubs: int = 64, block: int = 64) -> DataFrame:
-    """``id_col``, class_id, class_size and keep of each document: its near-duplicate class, and whether it is the one to keep.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 14, per_band: int = 3, ceiling_share: int = 256, largest: int = 4096, hubs: int = 64, block: int = 64, size: int = 256) -> DataFrame:
+    """``id_col``, class_id, class_size, keep and text_hash of each document: its near-duplicate class, and whether it is the one to keep.
 
     ``class_id`` is the least id of the class (null if it has none); the class's first row of that id is kept. Words are lower-cased
     and split at white space. Documents of equal words are one class, those without words too. There are ``bands`` bands of samples
@@ -442,66 +301,67 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``hubs``-th by hash the one that meets most others, so what is like one of them is one class early. Then into parts of half
     that size that meet two by two, each two in a task: every pair of the bucket is looked at whose classes still differ.
 
-    Null text has no words. Ids are whole numbers. Repeated rows are copies. An empty table gives no rows. Other columns are
-    ignored.
+    Null text has no words; whole texts count, however long. Ids are whole numbers. Repeated rows are copies. ``text_hash`` is the
+    text's xxhash64, so that a row is known by id and hash where ids repeat. An empty table gives no rows. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
     weights = word_weights(source, ceiling_share)
     sampler = Sampler(bands * per_band)
     least = threshold - 3.6 * math.sqrt(threshold * (1 - threshold) / (bands * per_band))
+    salts = np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        trim_cache()
-        contents, words, mass, sketches, found = [], [], [], [], []
-        salts = np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        for text in strings(batch, "_text"):
-            hashes = word_hashes(text)
-            contents.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-            words.append(len(hashes))
-            shingles, weight, times = weighted_shingles(hashes, weights, width)
-            mass.append(float(weight.sum()))
-            if not len(hashes):
+        contents, mass, sketches, found = [], [], [], []
+        hashes, ends = word_lines(strings(batch, "_text"))
+        sets = weighted_shingles(hashes, ends, weights, width)
+        for own, by_count, a, b in zip(sets, sampler.sample_counts(sets), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            contents.append(hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest())
+            mass.append(float(own[1].sum()))
+            if a == b:
                 sketches.append(b"")
                 found.append([])
                 continue
-            chosen = np.concatenate((sampler.sample(shingles, weight), sampler.sample_counts(shingles, times)))
-            sketches.append(_mixed(chosen).astype(np.uint16).tobytes())
+            chosen = np.concatenate((sampler.sample(*own[:2]), by_count))
+            sketches.append(mixed(chosen).astype(np.uint16).tobytes())
             key, chosen = salts, chosen.reshape(2 * bands, per_band)
             for k in range(per_band):
-                key = _mixed(key ^ chosen[:, k])
+                key = mixed(key ^ chosen[:, k])
             found.append(key.view(np.int64))
         kinds = (pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, k) for c, k in zip((contents, words, mass, sketches, found), kinds, strict=True))], names=["_id", "_h", "content", "words", "mass", "sketch", "bands"])
+        columns = (contents, np.diff(ends), mass, sketches, found)
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_id", "_h", "content", "words", "mass", "sketch", "bands"])
 
     signed = settle(arrow_map(source, "_id long, _h long, content binary, words int, mass double, sketch binary, bands array<long>", sign).withColumn("_row", F.monotonically_increasing_id()))
     head = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_h")).alias("head")
-    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), F.first("words").alias("words"), F.first("mass").alias("mass"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("words", "mass", "sketch", "bands")]))
     keys = exact.select("content", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     met = settle(keys.join(shared, "bucket").select("content", "bucket", "k"))
-    rows = met.join(exact.select("content", "words", "mass", "sketch"), "content")
+    sketched = exact.select("content", "sketch", "words", "mass")
     parts = F.ceil(F.col("k") / largest)
+    members = met.join(sketched, "content").withColumn("part", F.when(F.col("k") > largest, F.pmod(F.xxhash64("content", "bucket"), parts)).otherwise(F.lit(0).cast("long")))
+    members = members.select("bucket", "part", "content", "sketch", "words", "mass")
     split = met.where(F.col("k") > largest)
-    if split.isEmpty():
-        members = rows.select("bucket", F.lit(0).cast("long").alias("part"), "content", "sketch", "words", "mass")
-        crossed = members.withColumn("side", F.lit(0))
-    else:
+    if not split.isEmpty():
         popular = split.join(met.groupBy("content").agg(F.sum("k").alias("met")), "content").groupBy("bucket", "k", F.pmod(F.xxhash64("content"), F.lit(hubs))).agg(F.max(F.struct("met", "content")).alias("top"))
         everywhere = popular.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "top.content")
-        members = rows.select("bucket", F.pmod(F.xxhash64("content", "bucket"), parts).alias("part"), "content", "sketch", "words", "mass")
-        members = members.unionByName(everywhere.join(exact.select("content", "sketch", "words", "mass"), "content").select("bucket", "part", "content", "sketch", "words", "mass"))
-        crossed = crossings(rows, largest)
+        members = members.unionByName(everywhere.join(sketched, "content").select(*members.columns))
     one = met.select("content").distinct().join(exact.select("content", "head._id", "head._h"), "content")
     texts = settle(source.join(one, source["_id"].eqNullSafe(one["_id"]) & (source["_h"] == one["_h"])).groupBy("content").agg(F.first("_text").alias("_text")))
-    pairs = _candidates(members, False, threshold, least)
-    links = _verify(pairs, texts, weights, width, threshold, block)
-    roots = components(links)
-    known = crossed.join(roots.select(F.col("id").alias("content"), "root"), "content", "left")
-    more = _verify_blocks(_candidates(known, True, threshold, least), texts, weights, width, threshold)
+    proposals = _candidates(members, False, threshold, least)
+    roots = components(_verify(proposals, texts, weights, width, threshold, block))
+    rooted = F.coalesce("root", "content").alias("root")
+    classed = settle(met.join(roots.select(F.col("id").alias("content"), "root"), "content", "left").select("content", "bucket", "k", rooted))
+    several = classed.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("bucket")
+    known = classed.join(several, "bucket", "left_semi").join(in_blocks(proposals, size), "content").join(sketched, "content")
+    more = _verify_blocks(_candidates(crossings(known, largest), True, threshold, least), texts, weights, width, threshold)
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
-    rooted = exact.select("content", "head", "n").join(roots.select(F.col("id").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    classes = rooted.groupBy("root").agg(F.min("head").alias("first"), F.sum("n").alias("class_size"))
-    of_content = rooted.select("content", "root").join(classes, "root").select("content", F.col("first._id").alias("class_id"), "class_size", F.col("first._row").alias("_first"))
-    out = signed.select("_id", "content", "_row").join(of_content, "content")
-    return out.select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_row") == F.col("_first")).alias("keep"))
+    every = exact.agg(F.sum("n")).first()[0] or 0
+    of_text = settle(exact.select("content", "head", "n").join(roots.select(F.col("id").alias("content"), "root"), "content", "left").select("content", "head", "n", rooted))
+    classes = settle(of_text.groupBy("root").agg(F.min("head").alias("first"), F.sum("n").alias("class_size"), F.count("*").alias("texts")))
+    large = hot_keys(classes, "root", "texts", every)
+    of_text = hot_join(of_text.drop("head"), classes.drop("texts"), "root", large, F.xxhash64("content")).select("content", "n", F.col("first._id").alias("class_id"), "class_size", F.col("first._row").alias("_first"))
+    often = hot_keys(exact, "content", "n", every)
+    out = hot_join(signed.select("_id", "_h", "content", "_row"), of_text.drop("n"), "content", often, F.xxhash64("_row"))
+    return out.select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_row") == F.col("_first")).alias("keep"), F.col("_h").alias("text_hash"))
