@@ -1,21 +1,24 @@
-"""Benchmark decontamination: a broadcast set of normalised benchmark windows scanned over every document."""
+"""Benchmark decontamination: a broadcast set of normalised benchmark windows scanned over every document.
+
+The benchmark is dealt to blocks of a bounded number of characters in Spark; one block at a time is gathered into a set and scanned.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import arrow_map
+from emberpanel.llm.common import arrow_map, let, settle, strings
 
 #: A-Z to a-z; digits, letters and all bytes of non-ASCII characters stay; every other byte separates words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 22
+#: The same words, in either case, as an expression for cutting long items.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(text: str) -> list[bytes]:
@@ -23,119 +26,160 @@ def normal_words(text: str) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of some benchmark items: word ids, exact windows by their ids, and a bitmap that skips most misses."""
+    """The windows of some benchmark items: word ids, and for each width the windows' hashes in order, their places and owners.
+
+    A bitmap skips most misses; a hash that is found is compared word by word. A window takes 16 bytes.
+    """
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.ids: dict[bytes, int] = {}
-        self.owners: dict[bytes, set[str]] = defaultdict(set)
-        widths: set[int] = set()
-        for item, text in items:
-            words = normal_words(text)
-            if not words:
-                continue
-            line = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.uint32)
-            n = min(width, len(line))
-            widths.add(n)
-            for at in range(len(line) - n + 1):
-                self.owners[line[at : at + n].tobytes()].add(item)
-        self.widths = sorted(widths)
-        self.bitmaps = {n: np.zeros(1 << _FILTER_BITS, bool) for n in self.widths}
-        for window in self.owners:
-            n = len(window) // 4
-            self.bitmaps[n][self._hash(np.frombuffer(window, np.uint32), n)] = True
+        self.items = [item for item, _ in items]
+        lines = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in normal_words(text)], np.uint32) for _, text in items]
+        starts = np.cumsum([0, *map(len, lines)])
+        self.line = np.concatenate([*lines, np.zeros(0, np.uint32)])
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(width, len(own)) for own in lines if len(own)}):
+            at = np.concatenate([starts[k] + np.arange(len(own) - n + 1) for k, own in enumerate(lines) if len(own) and min(width, len(own)) == n])
+            keys = self._hash(self.line, n)[at]
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order].astype(np.int32)
+            bits = min(22, max(10, (16 * len(keys)).bit_length()))
+            seen = np.zeros(1 << bits, bool)
+            seen[keys >> np.uint64(64 - bits)] = True
+            self.windows[n] = keys, at, (np.searchsorted(starts, at, "right") - 1).astype(np.int32), seen
 
     @staticmethod
     def _hash(line: np.ndarray, n: int) -> np.ndarray:
-        total = np.zeros(len(line) - n + 1, np.uint64)
+        total = np.zeros(max(0, len(line) - n + 1), np.uint64)
         wide = line.astype(np.uint64)
         for k in range(n):
             total = (total ^ wide[k : k + len(total)]) * _MIX
             total ^= total >> np.uint64(29)
-        return (total >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        return total * _MIX
 
-    def hits(self, line: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, line: np.ndarray) -> tuple[list[tuple[int, int]], set[str | None]]:
         """[start, end) of each window that occurs, and the items it belongs to; 0 marks words of no item."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         known = np.concatenate(([0], np.cumsum(line != 0)))
-        for n in self.widths:
+        for n, (keys, at, owner, seen) in self.windows.items():
             if len(line) < n:
                 continue
             starts = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(starts):
                 continue
             if len(starts) * 4 < len(line):
-                places = np.concatenate([self._hash(line[s : s + n], n) for s in starts])
+                hashes = np.concatenate([self._hash(line[s : s + n], n) for s in starts])
             else:
-                places = self._hash(line, n)[starts]
-            for s in starts[self.bitmaps[n][places]]:
-                if (found := self.owners.get(line[s : s + n].tobytes())) is not None:
-                    spans.append((int(s), int(s) + n))
-                    items |= found
+                hashes = self._hash(line, n)[starts]
+            likely = np.flatnonzero(seen[hashes >> np.uint64(64 - len(seen).bit_length() + 1)])
+            starts, hashes = starts[likely], hashes[likely]
+            low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, "right")
+            for s, a, b in zip(starts.tolist(), low.tolist(), high.tolist(), strict=True):
+                own = [k for k in range(a, b) if (self.line[at[k] : at[k] + n] == line[s : s + n]).all()]
+                if own:
+                    spans.append((s, s + n))
+                    items.update(self.items[owner[k]] for k in own)
         return spans, items
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, share: int = 20, block_items: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_chars: int) -> tuple[DataFrame, int]:
+    """(item, item_text, block) of the items with a text, and the number of blocks; a block has about ``block_chars`` characters.
+
+    An item longer than an eighth of a block is cut into parts that share ``width`` - 1 words, so they have the item's windows.
+    """
+    long_words, spec = max(2 * width, block_chars // 16), benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("item_text")).where("item_text is not null")
+    n = max(1, -(-(spec.agg(F.sum(F.length("item_text") + 1)).first()[0] or 0) // block_chars))
+
+    def parts(words: Column) -> Column:
+        # A last part of fewer words than a window has only windows that the part before it has.
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(long_words)), lambda at: (at == 1) | (F.size(words) - at + 1 >= width))
+        return F.transform(starts, lambda at: F.array_join(F.slice(words, at, F.lit(long_words + width - 1)), " "))
+
+    cut = F.when(F.length("item_text") > block_chars // 8, let(F.regexp_extract_all("item_text", F.lit(_WORD), F.lit(0)), parts)).otherwise(F.array("item_text"))
+    rows = spec.select("item", F.explode(cut).alias("item_text"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item", "item_text"), F.lit(n))), n
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, share: int = 20, block_chars: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document that lie in a window of a benchmark item.
 
     Returns ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (word ranges, merged), plus the
-    columns in ``keep``. A window is ``width`` consecutive words of an item, or all words of a shorter item. Benchmark
-    windows travel in blocks of ``block_items`` items, each scanned in a pass of its own without a shuffle, so what one
-    pass broadcasts is bounded however large the benchmark grows.
-
-    Null and empty texts have no words and are clean. Null ids pass through. Repeated documents are judged row by row;
-    repeated items or windows count each item id once. An empty benchmark marks nothing. Other columns are ignored.
+    columns in ``keep``. A window is ``width`` consecutive words of an item, or all words of a shorter item. The benchmark
+    travels in blocks of about ``block_chars`` characters: the driver holds one block and a pass broadcasts one, however large
+    the benchmark grows. One block is one pass without a shuffle; of more, each pass keeps the documents it hits, and those
+    findings are joined to the documents.
+
+    Null and empty texts have no words and are clean; whole texts are scanned, however long. Null ids pass through. Repeated
+    documents are judged row by row; repeated items or windows count each item id once. Windows of items without an id hit like
+    others; such items count as one and have no place in the list. An empty benchmark marks nothing. Other columns are ignored.
     """
-    spec = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("item_text")).where("item_text is not null and item is not null")
-    rows = [(r.item, r.item_text) for r in spec.toLocalIterator()]
-    blocks = [WindowSet(rows[at : at + block_items], width) for at in range(0, max(1, len(rows)), block_items)]
+    blocks, n = blocks_of(benchmark, item_col, item_text_col, width, block_chars)
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_pad")).alias("_kept"))
-    kept_type = out.schema["_kept"].dataType.simpleString()
-    id_type = out.schema["_id"].dataType.simpleString()
-    for windows in blocks[:-1]:
-        out = _pass(out, windows, id_type, kept_type, share, last=False)
-    out = _pass(out, blocks[-1], id_type, kept_type, share, last=True)
+    if n == 1:
+        out = _judge(_scan(out.withColumns({"_h": F.lit(0).cast("long"), "_h2": F.lit(0).cast("long")}), _gather(blocks, 0, width), hits_only=False), share)
+    else:
+        blocks = settle(blocks.repartition(n, "block"))
+        keyed = out.withColumns({"_h": F.xxhash64("_id", "_text"), "_h2": F.xxhash64("_text", "_id")})
+        found = None
+        for block in range(n):
+            own = settle(_scan(keyed, _gather(blocks, block, width), hits_only=True).dropDuplicates(["_h", "_h2"]))
+            found = own if found is None else found.unionByName(own)
+        found = found.groupBy("_h", "_h2").agg(F.flatten(F.collect_list("_found")).alias("_found"))
+        out = _judge(keyed.join(found, ["_h", "_h2"], "left"), share)
     return out.select(F.col("_id").alias(id_col), *[F.col("_kept")[c].alias(c) for c in keep], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
-def _pass(docs: DataFrame, windows: WindowSet, id_type: str, kept_type: str, share: int, last: bool) -> DataFrame:
-    found_before = "_found" in docs.columns
-    found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _gather(blocks: DataFrame, block: int, width: int) -> WindowSet:
+    return WindowSet([(r.item, r.item_text) for r in blocks.where(F.col("block") == block).collect()], width)
+
+
+_FOUND = "array<struct<start:bigint,end:bigint,items:array<string>>>"
+_FOUND_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
+_SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(docs: DataFrame, windows: WindowSet, hits_only: bool) -> DataFrame:
+    """Documents with what ``windows`` hit in them; with ``hits_only`` just the keys of those hit."""
+    shown = ["_h", "_h2"] if hits_only else ["_id", "_text", "_kept"]
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in shown)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = windows.ids
-        found, counts = [], []
-        before = batch.column("_found").to_pylist() if found_before else [[]] * batch.num_rows
-        for text, old in zip(batch.column("_text").to_pylist(), before, strict=True):
-            words = normal_words(text) if text else []
-            line = np.fromiter((ids.get(w, 0) for w in words), np.uint32, len(words))
-            spans, items = windows.hits(line)
+        ids, found = windows.ids, []
+        for text in strings(batch, "_text"):
+            words = normal_words(text)
+            spans, items = windows.hits(np.fromiter((ids.get(w, 0) for w in words), np.uint32, len(words)))
             own = [{"start": s, "end": e, "items": []} for s, e in spans]
             if own:
-                own[0]["items"] = sorted(items)
-            found.append([*old, *own])
-            counts.append(len(words))
-        if not last:
-            return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), batch.column("_kept"), pa.array(found, found_type)], names=["_id", "_text", "_kept", "_found"])
-        hit, n_items, digests, merged = [], [], [], []
-        for spans in found:
+                own[0]["items"] = sorted(items, key=lambda i: (i is not None, i))
+            found.append(own)
+        take = pa.array([k for k, own in enumerate(found) if own or not hits_only], pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in shown), pa.array(found, _FOUND_TYPE).take(take)], names=[*shown, "_found"])
+
+    return arrow_map(docs.select(*dict.fromkeys((*shown, "_text"))), f"{schema}, _found {_FOUND}", work)
+
+
+def _judge(docs: DataFrame, share: int) -> DataFrame:
+    id_type, kept_type = docs.schema["_id"].dataType.simpleString(), docs.schema["_kept"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, hit, n_items, digests, merged = [], [], [], [], []
+        for text, spans in zip(strings(batch, "_text"), batch.column("_found").to_pylist(), strict=True):
             joined: list[dict] = []
-            for s, e in sorted((x["start"], x["end"]) for x in spans):
+            for s, e in sorted((x["start"], x["end"]) for x in spans or []):
                 if joined and s <= joined[-1]["end"]:
                     joined[-1]["end"] = max(e, joined[-1]["end"])
                 else:
                     joined.append({"start": s, "end": e})
-            items = sorted({i for x in spans for i in x["items"]})
+            items = {i for x in spans or [] for i in x["items"]}
+            counts.append(len(normal_words(text)))
             hit.append(sum(x["end"] - x["start"] for x in joined))
             n_items.append(len(items))
-            digests.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+            digests.append(hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest())
             merged.append(joined)
         bad = [h > 0 and share * h >= n for h, n in zip(hit, counts, strict=True)]
-        arrays = [batch.column("_id"), batch.column("_kept"), *(pa.array(x, pa.int64()) for x in (counts, hit, n_items)), pa.array(digests), pa.array(bad), pa.array(merged, spans_type)]
+        arrays = [batch.column("_id"), batch.column("_kept"), *(pa.array(x, pa.int64()) for x in (counts, hit, n_items)), pa.array(digests), pa.array(bad), pa.array(merged, _SPANS_TYPE)]
         return pa.RecordBatch.from_arrays(arrays, names=["_id", "_kept", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
 
-    found = "array<struct<start:bigint,end:bigint,items:array<string>>>"
-    if not last:
-        return arrow_map(docs, f"_id {id_type}, _text string, _kept {kept_type}, _found {found}", work)
-    return arrow_map(docs, f"_id {id_type}, _kept {kept_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<start:bigint,end:bigint>>", work)
+    schema = f"_id {id_type}, _kept {kept_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<struct<start:bigint,end:bigint>>"
+    return arrow_map(docs, schema, work)
