@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberpanel.llm.common import settle
+from emberpanel.llm.common import hot_join, hot_keys, settle
 
 #: (verdict, host and path prefix) as the query's contract states them.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -47,37 +47,44 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.select("src", lower_ascii(F.col("dst")).alias("dst")).where("src != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, *, rounds: int, damping: float) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, *, damping: float, settled: float = 1e-3, every: int = 6) -> DataFrame:
     """Personalised PageRank (host, mass) from seeds (host, mass) along links (src, dst, n); lost mass returns to the seeds.
 
-    Each round is a join by source host and a sum by target host, partly aggregated before its shuffle; lineage is cut every few
-    rounds.
+    Mass that leaves the graph only scales the rest, so rounds add up the seeds and what links move, and the sum is made 1 at the end.
+    Each round joins links with the mass of their source host and sums by target host, partly aggregated before its shuffle; links of
+    a host that has more than 1/256 of them stay where they are. Lineage is cut ``every`` few rounds, and rounds end when the last
+    moved less than ``settled`` of the mass: no later than when ``damping`` to their power is below it.
     """
-    out = links.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = settle(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    mass = seeds
-    for step in range(1, rounds + 1):
-        moved = mass.withColumnRenamed("host", "src").join(shares, "src").groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass"))
-        kept = settle(moved) if step % 3 == 0 or step == rounds else moved
-        arrived = kept.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
-        back = seeds.select("host", (F.col("mass") * (1.0 - arrived)).alias("mass"))
-        mass = kept.unionByName(back).groupBy("host").agg(F.sum("mass").alias("mass"))
-    return settle(mass)
-
-
-def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = 12, damping: float = 0.85, threshold: float = 0.5, parts: int = 32) -> DataFrame:
+    out = settle(links.groupBy("src").agg(F.sum("n").alias("total"), F.count("*").alias("targets")))
+    hot = hot_keys(out, "src", "targets", links.count())
+    shares = settle(hot_join(links, out.select("src", "total"), "src", hot, F.xxhash64("dst")).select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    mass = seeds = settle(seeds)
+    while True:
+        for _ in range(every):
+            moved = hot_join(shares, mass.select(F.col("host").alias("src"), "mass"), "src", hot, F.xxhash64("dst")).where("mass is not null")
+            arrived = moved.select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"), F.lit(0.0).alias("old"))
+            kept = mass.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")) if _ == every - 1 else None
+            rows = arrived.unionByName(seeds.select("host", "mass", F.lit(0.0).alias("old")))
+            mass = (rows if kept is None else rows.unionByName(kept)).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old"))
+        mass = settle(mass)
+        total, change = mass.agg(F.sum("mass"), F.sum(F.abs(F.col("mass") - F.col("old")))).first()
+        if (change or 0.0) <= settled * (total or 0.0):
+            return mass.select("host", (F.col("mass") / (total or 1.0)).alias("mass"))
+
+
+def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
     """``id_col``, host, path, rule and verdict of each page, and host_distrust, the distrust's share of the host's mass.
 
     The longest rule that fits decides; without one a host is blocked whose distrust is more than ``threshold`` of its trust and
     distrust together. Hosts that neither reaches are allowed. Seeds weigh as the share of the host's pages that rules allow or
     block. A null url, or one without ``://``, has empty host and path and no rule. Null pages link nowhere. Repeated
-    pages count and stay row by row; null ids are kept. An empty table gives no rows. Other columns are ignored. Rules are a
-    short list, matched in place.
+    pages count and stay row by row; null ids are kept. Whole pages are searched for links, however long. An empty table gives no
+    rows. Other columns are ignored. Rules are a short list, matched in place.
     """
     rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.col("_rule.verdict")
-    hosts = rows.where("host != ''").groupBy("host").agg(F.avg((F.coalesce(verdict == "allow", F.lit(False))).cast("double")).alias("good"), F.avg((F.coalesce(verdict == "block", F.lit(False))).cast("double")).alias("bad"))
+    hosts = rows.where("host != ''").groupBy("host").agg(F.count("*").alias("pages"), F.avg((F.coalesce(verdict == "allow", F.lit(False))).cast("double")).alias("good"), F.avg((F.coalesce(verdict == "block", F.lit(False))).cast("double")).alias("bad"))
     hosts = settle(hosts)
     links = settle(host_links(pages, url_col, html_col))
     reached = hosts.select("host")
@@ -85,12 +92,12 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     for column, own in (("good", links), ("bad", links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
         total = hosts.agg(F.sum(column)).first()[0] or 0.0
         seeds = hosts.where(F.col(column) > 0).select("host", (F.col(column) / (total or 1.0)).alias("mass"))
-        mass = spread(seeds, own, rounds=rounds, damping=damping) if any_links and total else seeds
+        mass = spread(seeds, own, damping=damping) if any_links and total else seeds
         reached = reached.join(mass.withColumnRenamed("mass", f"{column}_mass"), "host", "left")
     good, bad = (F.coalesce(F.col(f"{c}_mass"), F.lit(0.0)) for c in ("good", "bad"))
     judged = reached.select("host", F.when(bad > 0, bad / (good + bad)).otherwise(0.0).alias("host_distrust"))
-    # A host may have a third of all pages: its rows go to ``parts`` places, and each host's verdict to all of them.
-    judged = judged.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    out = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "path"), F.lit(parts))).join(judged, ["host", "_part"], "left")
+    # A host may have a third of all pages: pages of such hosts stay where they are and get the verdict by broadcast.
+    hot = hot_keys(hosts, "host", "pages", hosts.agg(F.sum("pages")).first()[0] or 0)
+    out = hot_join(rows, judged, "host", hot, F.xxhash64("_id", "path"))
     by_host = F.when(F.col("host_distrust") > threshold, "block").otherwise("allow")
     return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), F.coalesce("host_distrust", F.lit(0.0)).alias("host_distrust"))
