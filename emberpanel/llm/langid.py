@@ -20,16 +20,16 @@ from emberpanel.llm.common import arrow_map, hold, strings
 _WORDS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 _BASE = np.uint64(0x100000001B3)
-_UNKNOWN = 1e-7
+_UNKNOWN, _SMALL = 1e-7, 1e-100
 
 
-def vocabulary(model_file: str, longest: int = 8) -> list[str]:
-    """Lower-case pieces of letters (a leading mark for a word's start allowed) of a sentencepiece file."""
+def vocabulary(model_file: str) -> list[str]:
+    """Lower-case pieces of letters (a leading mark for a word's start allowed) of a sentencepiece file; words are lower-cased, so no others can occur."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= longest and p == p.lower() and (p == _START or p.removeprefix(_START).isalpha()))
+    return sorted(p for p in pieces if p == p.lower() and (p == _START or p.removeprefix(_START).isalpha()))
 
 
 class Pieces:
@@ -60,41 +60,68 @@ class Pieces:
     def _slots(keys: np.ndarray, odd: np.uint64) -> np.ndarray:
         return ((keys ^ (keys >> np.uint64(32))) * odd) >> np.uint64(46)
 
-    def ids(self, codes: np.ndarray) -> list[np.ndarray]:
-        """For each length from 1: ids (words, places) of the substrings; ``n`` where there is no such piece."""
-        out, keys = [], np.zeros(codes.shape, np.uint64)
-        for length in range(1, min(self.longest, codes.shape[1]) + 1):
-            keys = keys[:, : codes.shape[1] - length + 1] * _BASE + codes[:, length - 1 :]
-            found = np.full(keys.shape, self.n, np.int32)
+    def ending(self, codes: np.ndarray) -> np.ndarray:
+        """ids (words, ends, lengths) of the substring of each length that ends at each place; ``n`` where there is no such piece."""
+        words, size = codes.shape
+        out = np.full((words, size + 1, min(self.longest, size)), self.n, np.int32)
+        keys = np.zeros(codes.shape, np.uint64)
+        for length in range(1, out.shape[2] + 1):
+            keys = keys[:, : size - length + 1] * _BASE + codes[:, length - 1 :]
+            found = out[:, length:, length - 1]
             for odd, held, ids in self.tables:
                 slots = self._slots(keys, odd)
-                found = np.minimum(found, np.where(held[slots] == keys, ids[slots], self.n))
-            out.append(found)
+                np.minimum(found, np.where(held[slots] == keys, ids[slots], self.n), out=found)
         return out
 
 
-def by_length(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, character codes) of the words of each length."""
+def by_length(words: list[str], most: int = 1 << 15) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, character codes) of words of one length, about ``most`` characters at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return [(rows := np.flatnonzero(lengths == n), np.frombuffer("".join([words[r] for r in rows]).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)) for n in np.unique(lengths)]
+    out = []
+    for n in np.unique(lengths).tolist():
+        every, step = np.flatnonzero(lengths == n), max(1, most // n)
+        for at in range(0, len(every), step):
+            rows = every[at : at + step]
+            out.append((rows, np.frombuffer("".join([words[r] for r in rows]).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)))
+    return out
 
 
-def _forward(ids: list[np.ndarray], probability: np.ndarray, n: int) -> np.ndarray:
-    """(words, n + 1, languages): summed probability of all segmentations of each prefix."""
-    alpha = np.zeros((ids[0].shape[0], n + 1, probability.shape[1]))
+def _forward(ending: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ends, languages): summed probability of all segmentations of each prefix, and the logarithm to add to its logarithm.
+
+    Sums that get small are scaled up, each language's by itself, so words may be of any length.
+    """
+    words, ends, lengths = ending.shape
+    languages = probability.shape[1]
+    alpha, shift = np.zeros((words, ends, languages)), np.zeros((words, ends, languages))
     alpha[:, 0] = 1
-    for end in range(1, n + 1):
-        for length in range(1, min(end, len(ids)) + 1):
-            p = probability[ids[length - 1][:, end - length]]
-            alpha[:, end] += alpha[:, end - length] * (np.maximum(p, _UNKNOWN) if length == 1 else p)
-    return alpha
+    last = np.zeros((words, lengths, languages))
+    last[:, 0] = 1
+    now = np.zeros((words, languages))
+    for end in range(1, ends):
+        p = probability[ending[:, end]]
+        np.maximum(p[:, 0], _UNKNOWN, out=p[:, 0])
+        own = (p * last).sum(1)
+        if end % 8 == 0 and (small := own < _SMALL).any():
+            up = np.where(small, 1 / _SMALL, 1.0)
+            own *= up
+            last *= up[:, None]
+            now -= np.log(up)
+        alpha[:, end], shift[:, end] = own, now
+        last[:, 1:] = last[:, :-1].copy()
+        last[:, 0] = own
+    return alpha, shift
+
+
+def _log_forward(ending: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    alpha, shift = _forward(ending, probability)
+    with np.errstate(divide="ignore"):
+        return np.log(alpha) + shift
 
 
 class Model:
     """``probability`` is (pieces + 1, languages), 0 in the last row."""
 
-    MAX_WORD = 40
-
     def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray):
         self.languages, self.pieces, self.probability = languages, pieces, probability
         self.key = uuid.uuid4().hex
@@ -102,8 +129,8 @@ class Model:
     def word_scores(self, words: list[str], lookup: Pieces) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
         for rows, codes in by_length(words):
-            alpha = _forward(lookup.ids(codes), self.probability, codes.shape[1])
-            out[rows] = np.log(np.maximum(alpha[:, -1], 1e-300))
+            alpha, shift = _forward(lookup.ending(codes), self.probability)
+            out[rows] = np.log(alpha[:, -1]) + shift[:, -1]
         return out
 
 
@@ -120,22 +147,23 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 4, s
     for at, language in enumerate(languages):
         words = sorted(counts[language])
         weight = np.array([counts[language][w] for w in words], float)
-        groups = [(rows, lookup.ids(codes), codes.shape[1]) for rows, codes in by_length(words)]
+        groups = [(rows, lookup.ending(codes)) for rows, codes in by_length(words)]
         p = np.full((n + 1, 1), 1.0 / max(n, 1))
         p[n] = 0
         for _ in range(rounds):
             expected = np.zeros(n + 1)
-            for rows, ids, length in groups:
-                alpha = _forward(ids, p, length)[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[:, length] = 1
-                for start in range(length - 1, -1, -1):
-                    for size in range(1, min(length - start, len(ids)) + 1):
-                        q = p[ids[size - 1][:, start], 0]
-                        beta[:, start] += beta[:, start + size] * (np.maximum(q, _UNKNOWN) if size == 1 else q)
-                scale = weight[rows] / np.maximum(alpha[:, length], 1e-300)
-                for size, own in enumerate(ids, 1):
-                    share = alpha[:, : length - size + 1] * beta[:, size:] * scale[:, None] * p[own, 0]
+            for rows, ending in groups:
+                size, lengths = ending.shape[1] - 1, ending.shape[2]
+                # Backward sums are forward sums over the reversed word.
+                turned = np.full_like(ending, n)
+                for length in range(1, lengths + 1):
+                    turned[:, length:, length - 1] = ending[:, length:, length - 1][:, ::-1]
+                alpha, beta = _log_forward(ending, p)[:, :, 0], _log_forward(turned, p)[:, ::-1, 0]
+                with np.errstate(divide="ignore"):
+                    log_p = np.log(p[:, 0])
+                for length in range(1, lengths + 1):
+                    own = ending[:, length:, length - 1]
+                    share = np.exp(alpha[:, : size - length + 1] + log_p[own] + beta[:, length:] - alpha[:, size:]) * weight[rows, None]
                     expected += np.bincount(own.ravel(), share.ravel(), n + 1)
             p[:n, 0] = (expected[:n] + smooth) / (expected[:n].sum() + smooth * n)
         probability[:, at] = p[:, 0]
@@ -157,10 +185,8 @@ class Scorer:
 
     def _learn(self, words: list[str]) -> None:
         marked = [mark(w) for w in words]
-        parts = [m[k : k + Model.MAX_WORD] for m in marked for k in range(0, len(m), Model.MAX_WORD)]
-        owner = np.repeat(np.arange(len(words)), [-(-len(m) // Model.MAX_WORD) for m in marked])
         scores = np.zeros((len(words), self.table.shape[1]))
-        np.add.at(scores[:, :-1], owner, self.model.word_scores(parts, self.lookup))
+        scores[:, :-1] = self.model.word_scores(marked, self.lookup)
         letters = np.array([len(m) > 1 for m in marked])
         scores[~letters] = 0
         scores[:, -1] = letters
@@ -204,7 +230,8 @@ def scorer(model: Model) -> Scorer:
 def train(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column, per_language: int = 300) -> Model | None:
     """Fit on about ``per_language`` labelled documents of each language, chosen by a hash of their id; None if there are none.
 
-    ``learn`` selects the rows that may be learned from. Rows of null text or language teach nothing.
+    ``learn`` selects the rows that may be learned from. Rows of null text or language teach nothing; repeated rows count each
+    time. Whole texts of the sample come to the driver.
     """
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
@@ -218,9 +245,7 @@ def train(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_co
         own = counts.setdefault(row.lang, {})
         for word in _WORDS.findall(row.text.lower()):
             marked = mark(word)
-            for at in range(0, len(marked), Model.MAX_WORD):
-                part = marked[at : at + Model.MAX_WORD]
-                own[part] = own.get(part, 0) + 1
+            own[marked] = own.get(marked, 0) + 1
     counts = {k: v for k, v in counts.items() if v}
     return fit(counts, pieces) if counts else None
 
@@ -229,8 +254,8 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     """Predicted language of each whole text: the columns in ``keep``, ``id_col``, lang_pred, score.
 
     ``score`` is the language's posterior under equal priors. A null text, or one without a letter, is ``und`` with score 0;
-    so is every text where nothing was learned. Ties go to the language first in order. Repeated rows and null ids pass
-    through row by row. Other columns are ignored.
+    so is every text where nothing was learned. Ties go to the language first in order. Whole texts and whole words count, however
+    long. Repeated rows and null ids pass through row by row. An empty table gives no rows. Other columns are ignored.
     """
     if model is None:
         return docs.select(F.col(id_col), *keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
