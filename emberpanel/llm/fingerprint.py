@@ -27,7 +27,8 @@ def order_minhash(text: Column, *, k: int = 3, piece: int = 8) -> Column:
     """array<bigint>: a value for each bin that has k-mers, its top bits the bin.
 
     A k-mer is ``k`` consecutive pieces; pieces are words, cut each ``piece`` characters. A text of fewer pieces is one k-mer; one
-    without any has an empty fingerprint.
+    without any has an empty fingerprint. Whole texts count; k-mers beyond the 2^24th (a text of 32 MB at least, more than a task's
+    memory holds here) stand at one place, so among them order goes by hash.
     """
     pieces = F.regexp_extract_all(text, F.lit(rf"\S{{1,{piece}}}"), F.lit(0))
     empty = F.array_remove(F.array(F.lit(0).cast("long")), F.lit(0).cast("long"))
@@ -118,8 +119,8 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Returns ``id_col``, n_chars, edited (the edited text), fingerprint, edited_fingerprint, near_edited, near_next. The last
     floor(n_chars/4) code points are replaced by as many of the next document's first, or all it has; the next document is the
     one of the next higher id, after the last the first. Null text is empty. Equal texts have equal fingerprints. Repeated ids
-    follow each other by their texts' hash; a lone document follows itself; null ids come first. Ids are numbers. An empty
-    table gives no rows. Other columns are ignored.
+    follow each other by their texts' hash; a lone document follows itself; null ids come first. Ids are numbers. Whole texts
+    count, but for the order beyond 2^24 k-mers (see ``order_minhash``). An empty table gives no rows. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     base = base.withColumn("_tie", F.xxhash64("_text")).withColumn("_print", order_minhash(F.col("_text")))

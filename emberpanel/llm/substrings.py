@@ -187,8 +187,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Returns a row a document: ``id_col``, n_words, n_removed, kept_text (kept words joined by one space). Windows are judged
     on the input. Word sequences are compared by 128 bits of hash. Null text has no words; documents shorter than a window
-    keep all. Repeated rows are occurrences like any other, so their windows go in each of them. Null ids are allowed. An empty
-    table gives no rows. Other columns are ignored.
+    keep all. Whole texts count, however long. Repeated rows are occurrences like any other, so their windows go in each of them.
+    Null ids are allowed. An empty table gives no rows. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("_h2"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()

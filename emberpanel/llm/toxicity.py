@@ -68,10 +68,11 @@ def telling_words(texts: list[set[str]], labels: list[int]) -> set[str]:
     return {w for w, (n, t) in counts.items() if departs(n, t, mean)}
 
 
-def fit(texts: list[set[str]], labels: list[int], words: set[str] | None = None, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5, twins: float = 10.0, inserted: int = 200) -> Model:
+def fit(texts: list[set[str]], labels: list[int], words: set[str] | None = None, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-5, twins: float = 10.0) -> Model:
     """Adam on the mean loss: cross entropy (both classes of equal weight), ``decay`` on squared weights and ``twins`` on twins' scores.
 
-    Only ``words`` (by default the telling ones of these texts) and identity terms have weights.
+    Only ``words`` (by default the telling ones of these texts) and identity terms have weights. Every text that names a group
+    has its swapped twin, and every neutral text two: one that names a group against none, one that names a group against another.
     """
     y = np.array(labels, float)
     known = sorted((telling_words(texts, labels) if words is None else words) | set(_SWAP))
@@ -80,10 +81,10 @@ def fit(texts: list[set[str]], labels: list[int], words: set[str] | None = None,
     if not 0 < mean < 1:
         return Model({}, 4.0 if mean else -4.0)
     pairs = [(own, {_SWAP.get(w, w) for w in own}) for own in texts if not own.isdisjoint(_SWAP)]
-    neutral = [own for own, label in zip(texts, labels, strict=True) if not label][:inserted]
+    neutral = [own for own, label in zip(texts, labels, strict=True) if not label]
     kinds = sorted(_SWAP)
     pairs += [(own | {kinds[k % len(kinds)]}, own) for k, own in enumerate(neutral)]
-    pairs += [(own | {t}, own | {_SWAP[t]}) for own, t in zip(neutral, kinds, strict=False)]
+    pairs += [(own | {t}, own | {_SWAP[t]}) for k, own in enumerate(neutral) for t in (kinds[(k + len(kinds) // 2) % len(kinds)],)]
     row, col = _rows(texts, ids)
     left, right = _rows([a for a, _ in pairs], ids), _rows([b for _, b in pairs], ids)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -110,7 +111,8 @@ def fit(texts: list[set[str]], labels: list[int], words: set[str] | None = None,
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column, sample: int = 8_000) -> Model:
     """Fit on at most about ``sample`` labelled documents, chosen by a hash of their id. ``learn`` selects the rows to learn from.
 
-    Labels of null id or value and those of no document teach nothing; of a document's repeated labels the highest counts.
+    Labels of null id or value and those of no document teach nothing; of a document's repeated labels the highest counts; a
+    document whose row is repeated counts each time. Without labels of both kinds every text has the same score.
     """
     known = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     size = known.count()
@@ -140,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``id_col``, score (0 to 1, higher: likelier toxic) and predicted (1 from ``threshold`` on) of each whole text.
 
-    Null and empty texts have the score of no words. Repeated rows and null ids pass through row by row. An empty table
-    gives no rows. Other columns are ignored.
+    Null and empty texts have the score of no words. Whole texts count, however long. Repeated rows and null ids pass through row by
+    row. An empty table gives no rows. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
