@@ -22,7 +22,10 @@ REST = COLUMNS[1:]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned go on; a missing ``lang`` is filled in. Without letters or sure of no language, a document goes."""
+    """Documents in a language that was learned go on; a missing ``lang`` is filled in. Without letters or sure of no language, a document goes.
+
+    So null and empty texts go. Repeated rows are judged each by itself; an empty table stays empty.
+    """
     model = langid.train(docs, langid.vocabulary(PIECES), learn=F.lit(True))
     found = langid.identify(docs, model, keep=REST)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
@@ -30,25 +33,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class goes on: the one of the least id. Documents without an id stay."""
-    kept = neardup.near_duplicates(docs).where("keep and doc_id is not null").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each near-duplicate class goes on: the first row of the least id, with or without an id.
+
+    A row is known by its id and its text's hash, so different texts of one id are kept or dropped each by its own class. Null and
+    empty texts are one class. Of rows alike in id and text one goes on.
+    """
+    kept = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    one = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["text_hash"] == kept["_h"]), "left_semi")
+    return one.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go."""
+    """Documents of which a twentieth or more lies in benchmark windows go. Null and empty texts stay; repeated rows are judged each by itself."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=REST)
     return found.where("not contaminated").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document goes on; its secrets are replaced by ``[SECRET]``."""
+    """Every document goes on, repeated rows too; its secrets are replaced by ``[SECRET]``. A null text goes on as an empty one."""
     found = secrets.find_secrets(docs, secrets.train(), keep=("lang", "source"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its place in a sequence. An empty text is its end mark alone; an empty table gives no rows."""
     return pack(docs, Path(TOKENIZER).read_text(encoding="utf-8"))
 
 
