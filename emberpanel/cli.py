@@ -79,7 +79,7 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def report(spark: SparkSession, raw: DataFrame, config: backtest.BacktestConfig, out: str, draws: int, compare: bool = False) -> dict:
+def report(spark: SparkSession, raw: DataFrame, config: backtest.BacktestConfig, out: str, draws: int, compare: bool = False, quiet: bool = True) -> dict:
     """Save scored results, diagnostics and every summary table; the paths by name."""
     raw.write.mode("overwrite").parquet(f"{out}/raw")
     raw = spark.read.parquet(f"{out}/raw")
@@ -88,7 +88,9 @@ def report(spark: SparkSession, raw: DataFrame, config: backtest.BacktestConfig,
     models = backtest.models_of(raw)
     benchmark = BENCHMARK if BENCHMARK in models else models[0]
     tables = scores.summarize(scored, benchmark)
-    tables |= {"diagnostics": backtest.diagnostics(raw), "coverage": scores.coverage(scored), "mincer_zarnowitz": scores.mincer_zarnowitz(scored), "subsamples": scores.subsamples(scored, benchmark)}
+    covered = scores.coverage(scored)
+    tables |= {"coverage_by_level": scores.coverage_pivot(covered)}
+    tables |= {"diagnostics": backtest.diagnostics(raw), "coverage": covered, "mincer_zarnowitz": scores.mincer_zarnowitz(scored), "subsamples": scores.subsamples(scored, benchmark)}
     for h in config.horizons:
         tables |= {
             f"leaderboard_{h}": scores.leaderboard(tables["equal_weighted"], h),
@@ -100,9 +102,14 @@ def report(spark: SparkSession, raw: DataFrame, config: backtest.BacktestConfig,
         tables[f"mcs_inclusion_{h}"] = published.with_inclusion(rates, h) if compare else rates
     if compare:
         tables["comparison"] = published.compare(tables["equal_weighted"], tables["pooled"], tables["mincer_zarnowitz"])
+        tables["ratio_by_horizon"] = published.ratio_pivot(tables["comparison"], config.horizons)
         tables["agreement"] = published.agreement(tables["comparison"])
     for name, table in tables.items():
         save_csv(table, f"{out}/{name}")
+    if not quiet:
+        for name in ("coverage_by_level", "ratio_by_horizon"):
+            if name in tables:
+                tables[name].orderBy(*tables[name].columns[:2]).show(1000, truncate=False)
     return {name: f"{out}/{name}" for name in ("results", *tables)}
 
 
@@ -127,20 +134,25 @@ def run_backtests(spark: SparkSession, args: argparse.Namespace) -> int:
     rows = archive.load_series(spark, args.input_dir, args.target)
     config = backtest.BacktestConfig(horizons=tuple(args.horizons), scheme=args.window, min_train=args.min_train, rolling_size=args.rolling_size, refit_frequency=args.refit)
     raw = backtest.run_backtest(rows, args.target, forecasters.baseline_models(args.with_mem), config)
-    saved = report(spark, raw, config, args.output_dir, args.bootstrap)
+    saved = report(spark, raw, config, args.output_dir, args.bootstrap, quiet=args.quiet)
     if args.plot_ticker:
-        plots.draw(plots.fan(spark.read.parquet(saved["results"]), BENCHMARK, args.plot_ticker, args.plot_horizon), "fan.png", "target_date", "quantile", "level")
+        plots.draw(plots.fan(spark.read.parquet(saved["results"]), BENCHMARK, args.plot_ticker, args.plot_horizon), f"{args.output_dir}/fan.png", "target_date", "quantile", "level")
     save_json(spark, f"{args.output_dir}/manifest.json", {"arguments": vars(args), "tables": saved})
     return 0
 
 
+def config_of(args: argparse.Namespace) -> archive.ArchiveConfig:
+    return archive.ArchiveConfig(root=args.archive_root, symbols=tuple(args.assets), measure=args.measure, start=args.start, end=args.end)
+
+
 def run_replication(spark: SparkSession, args: argparse.Namespace) -> int:
     source = args.input_dir
     if args.archive_root:
-        rows, dropped = archive.build_archive(spark, archive.ArchiveConfig(root=args.archive_root, symbols=tuple(args.assets), measure=args.measure, start=args.start, end=args.end))
+        rows, dropped = archive.build_archive(spark, config_of(args))
         source = f"{args.output_dir}/archive"
         rows.write.mode("overwrite").partitionBy("ticker").parquet(source)
         save_csv(dropped, f"{args.output_dir}/dropped")
+        save_json(spark, f"{args.output_dir}/archive_manifest.json", archive.manifest(spark.read.parquet(source), dropped, config_of(args)))
     if args.ingest_only:
         return 0
     exog = () if args.no_exog_models else ("jump", "var_rsp", "var_rsn", "var_rq")
@@ -150,7 +162,7 @@ def run_replication(spark: SparkSession, args: argparse.Namespace) -> int:
     config = backtest.BacktestConfig(horizons=tuple(args.horizons), scheme="rolling", min_train=args.window_size, refit_frequency=args.refit, max_origins=args.max_origins, target="average" if args.track == "aggregate" else "point")
     models = forecasters.published_models(exog=bool(there), slow=not args.no_slow_models, mem=not args.no_mem, naive=args.with_naive)
     raw = backtest.run_backtest(rows, value, models, config, there, origins_per_task=250)
-    saved = report(spark, raw, config, args.output_dir, args.bootstrap, compare=args.track == "point")
+    saved = report(spark, raw, config, args.output_dir, args.bootstrap, compare=args.track == "point", quiet=args.quiet)
     save_json(spark, f"{args.output_dir}/manifest.json", {"arguments": vars(args), "models": list(models), "exog": there, "tables": saved})
     return 0
 

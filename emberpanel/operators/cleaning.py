@@ -13,10 +13,26 @@ PRICES = ("open", "high", "low", "close")
 
 
 def normalize_date(value: Column) -> Column:
-    """A timestamp, date or text as a date in UTC; null if it is none."""
+    """A timestamp, date or text as a date; null if it is none.
+
+    A text without a zone is taken as it stands; one with a zone, and a timestamp, is dated in the session's zone, UTC in the command
+    lines.
+    """
     return F.to_date(F.try_to_timestamp(value.cast("string")))
 
 
+def require_ohlc(bars: DataFrame) -> DataFrame:
+    """The bars, if they have a ticker, a date of that type and numeric prices; else ValueError. Rows need no order: windows sort them."""
+    kinds = dict(bars.dtypes)
+    if gone := [c for c in ("ticker", "date", *PRICES) if c not in kinds]:
+        raise ValueError(f"bars lack {', '.join(gone)}")
+    if kinds["date"] not in ("date", "timestamp", "timestamp_ntz"):
+        raise ValueError(f"date is {kinds['date']}, not a date")
+    if texts := [c for c in PRICES if kinds[c] in ("string", "boolean", "binary")]:
+        raise ValueError(f"not numeric: {', '.join(texts)}")
+    return bars
+
+
 def flag_bars(bars: DataFrame, sequence: str | None = None) -> DataFrame:
     """The bars with drop_reason (null for good ones); of a repeated date the row last in ``sequence`` stays.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +13,10 @@ from pyspark.sql import functions as F
 from emberpanel.operators.cleaning import columns_like
 
 
-def average_rank(value: str, keys: tuple[str, ...]) -> Column:
-    """Rank from 1, ties at their mean rank."""
-    order, tied = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
+def average_rank(value: str, keys: tuple[str, ...], digits: int = 10) -> Column:
+    """Rank from 1, ties at their mean rank; values that agree to ``digits`` decimals are ties, so the last bits of a sum break none."""
+    near = F.round(F.col(value), digits)
+    order, tied = Window.partitionBy(*keys).orderBy(near), Window.partitionBy(*keys, near)
     return F.rank().over(order) + (F.count("*").over(tied) - 1) / 2
 
 
@@ -41,17 +44,32 @@ def correlations(panel: DataFrame, method: str = "pearson") -> DataFrame:
     return both.groupBy("ticker", "a", "b").applyInPandas(tau, "ticker string, a string, b string, correlation double")
 
 
-def kendall(x, y) -> float:
-    """Kendall's tau-b, a row of signs at a time."""
-    import numpy as np
-
-    agree = ties_x = ties_y = 0
-    for k in range(1, len(x)):
-        sx, sy = np.sign(x[k:] - x[:-k]), np.sign(y[k:] - y[:-k])
-        agree += float((sx * sy).sum())
-        ties_x += int((sx != 0).sum())
-        ties_y += int((sy != 0).sum())
-    return agree / float(np.sqrt(float(ties_x) * float(ties_y))) if ties_x and ties_y else float("nan")
+def _ties(*columns: np.ndarray) -> int:
+    """Pairs that agree in all columns."""
+    _, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs of which the earlier value is greater: sorted runs are merged by twos, and each merge counts its own."""
+    total, width = 0, 1
+    values = np.array(values)
+    while width < len(values):
+        for at in range(0, len(values) - width, 2 * width):
+            left, right = values[at : at + width], values[at + width : at + 2 * width]
+            total += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            values[at : at + 2 * width] = np.sort(values[at : at + 2 * width], kind="stable")
+        width *= 2
+    return total
+
+
+def kendall(x, y, digits: int = 10) -> float:
+    """Kendall's tau-b; values that agree to ``digits`` decimals are ties."""
+    x, y = np.round(np.asarray(x, float), digits), np.round(np.asarray(y, float), digits)
+    n = len(x) * (len(x) - 1) // 2
+    same_x, same_y = _ties(x), _ties(y)
+    agree = n - same_x - same_y + _ties(x, y) - 2 * inversions(y[np.lexsort((y, x))])
+    return agree / (math.sqrt(n - same_x) * math.sqrt(n - same_y)) if n > same_x and n > same_y else float("nan")
 
 
 def noise_ranking(panel: DataFrame) -> DataFrame:

@@ -118,6 +118,11 @@ def at_horizon(comparison: DataFrame, horizon: int) -> DataFrame:
     return comparison.where(F.col("horizon") == horizon).select(*[c for c in shown if c in comparison.columns])
 
 
+def ratio_pivot(comparison: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Our ratios by model, a column a horizon."""
+    return comparison.groupBy("model").pivot("horizon", list(horizons)).agg(F.first("our_ratio")).select("model", *[F.col(f"`{h}`").alias(f"ratio_{h}") for h in horizons])
+
+
 def with_inclusion(rates: DataFrame, horizon: int) -> DataFrame:
     """Our inclusion rates beside the published ones."""
     table = reference_table(rates.sparkSession, "mcs").where(F.col("horizon") == horizon).drop("horizon")

@@ -69,6 +69,11 @@ def coverage(results: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.withColumn("gap", F.col("coverage") - F.col("level"))
 
 
+def coverage_pivot(table: DataFrame, levels: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """Coverage by model and horizon, a column a level."""
+    return table.groupBy("model", "horizon").pivot("level", list(levels)).agg(F.first("coverage")).select("model", "horizon", *[F.col(f"`{q}`").alias(quantile_column(q).replace(".", "_")) for q in levels])
+
+
 def leaderboard(summary: DataFrame, horizon: int, loss: str = "qlike") -> DataFrame:
     """Models of one horizon from the least loss up, with their rank from 1."""
     shown = [c for c in ("model", loss, f"{loss}_ratio", "rmse", "n_obs", "n_failed", "n_assets") if c in summary.columns]

@@ -83,15 +83,22 @@ def _frame(config: BacktestConfig):
     return w.rowsBetween(Window.unboundedPreceding if config.window is None else 1 - config.window, 0)
 
 
+def naive_backtests(panel: DataFrame, value: str, config: BacktestConfig, models: tuple[str, ...]) -> DataFrame:
+    """Point forecasts of ``random_walk`` and ``historical_mean`` in window expressions alone; one shuffle by ticker for all of them."""
+    points: dict[str, Column] = {"random_walk": F.col("y"), "historical_mean": F.avg("y").over(_frame(config))}
+    for model in models:
+        if model not in points:
+            raise ValueError(f"no native plan for {model!r}")
+    rows = series(panel, value).withColumns({f"_{m}": F.greatest(points[m], F.lit(1e-8)) for m in models})
+    rows = origins(targets(rows, config), config)
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"target_date_{h}").alias("target_date"), F.col(f"realized_{h}").alias("realized")) for h in config.horizons])
+    made = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("forecast")) for m in models])
+    out = rows.select("ticker", F.col("date").alias("origin_date"), F.explode(ahead).alias("t"), made.alias("_made")).where("t.target_date is not null").withColumn("m", F.explode("_made"))
+    return out.select("m.model", "ticker", "origin_date", "t.target_date", "t.horizon", "m.forecast", "t.realized")
+
+
 def naive_backtest(panel: DataFrame, value: str, config: BacktestConfig, model: str) -> DataFrame:
-    """Point forecasts of ``random_walk`` or ``historical_mean`` in window expressions alone; one shuffle by ticker."""
-    point: Column = F.col("y") if model == "random_walk" else F.avg("y").over(_frame(config))
-    if model not in ("random_walk", "historical_mean"):
-        raise ValueError(f"no native plan for {model!r}")
-    rows = origins(targets(series(panel, value).withColumn("_f", F.greatest(point, F.lit(1e-8))), config), config)
-    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"target_date_{h}").alias("target_date"), F.col(f"realized_{h}").alias("realized")) for h in config.horizons]))
-    out = rows.select("ticker", F.col("date").alias("origin_date"), F.col("_f").alias("forecast"), each.alias("t")).where("t.target_date is not null")
-    return out.select(F.lit(model).alias("model"), "ticker", "origin_date", "t.target_date", "t.horizon", "forecast", "t.realized")
+    return naive_backtests(panel, value, config, (model,))
 
 
 def random_walk_quantiles(panel: DataFrame, value: str, config: BacktestConfig, h: int, levels: tuple[float, ...] = LEVELS) -> DataFrame:

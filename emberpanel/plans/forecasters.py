@@ -129,11 +129,9 @@ class EWMA(Forecaster):
     def _estimate(self):
         if len(self.y) < 2:
             raise NotEnoughData(f"{self.name}: needs 2 values")
-        self.level = np.empty(len(self.y))
-        now = self.y[0]
-        for k, x in enumerate(self.y):  # seeded by the slice's first value
-            now = x if k == 0 else self.decay * now + (1 - self.decay) * x
-            self.level[k] = now
+        inputs = (1 - self.decay) * self.y
+        inputs[0] = self.y[0]  # seeded by the slice's first value
+        self.level = decayed_sums(inputs, self.decay)
 
     def point(self, h):
         return self.level[-1]
@@ -142,6 +140,16 @@ class EWMA(Forecaster):
         return self.y[h:] - self.level[:-h]
 
 
+def decayed_sums(x: np.ndarray, decay: float) -> np.ndarray:
+    """s[k] = x[k] + decay s[k - 1], by doubling spans: after each step a value has twice as many terms."""
+    out, power, span = np.array(x, float), decay, 1
+    while span < len(out) and abs(power) > 1e-300:
+        out[span:] += power * out[:-span].copy()
+        power *= power
+        span *= 2
+    return out
+
+
 def trailing_mean(x: np.ndarray, n: int) -> np.ndarray:
     """Mean of the last ``n`` values, NaN until there are ``n``."""
     out = np.full(len(x), np.nan)
@@ -300,12 +308,10 @@ class MEM(Forecaster):
 
     @staticmethod
     def recursion(x: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
-        mu = np.empty(len(x))
-        now = float(x.mean())
-        for k in range(len(x)):
-            mu[k] = now
-            now = omega + alpha * x[k] + beta * now
-        return mu
+        inputs = np.empty(len(x))
+        inputs[0] = x.mean()
+        inputs[1:] = omega + alpha * x[:-1]
+        return decayed_sums(inputs, beta)
 
     def _loss(self, p) -> float:
         omega, alpha, beta = p
@@ -353,13 +359,20 @@ class AMEM(Forecaster):
 
 def arma_innovations(x: np.ndarray, mean: float, phi: float, theta: float) -> tuple[np.ndarray, np.ndarray]:
     """One-step errors and their relative variances of a stationary ARMA(1, 1), exactly from the first value on."""
-    n = len(x)
-    error, scale = np.empty(n), np.empty(n)
+    n, z = len(x), x - mean
+    error, scale = np.empty(n), np.ones(n)
     guess, r = 0.0, (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
-    for t in range(n):
-        error[t], scale[t] = x[t] - mean - guess, r
-        guess = phi * (x[t] - mean) + theta / r * error[t]
+    t = 0
+    while t < n and abs(r - 1.0) > 1e-14:  # the variance settles in a few steps
+        error[t], scale[t] = z[t] - guess, r
+        guess = phi * z[t] + theta / r * error[t]
         r = 1 + theta * theta - theta * theta / r
+        t += 1
+    if t < n:  # from there on the gain stands still
+        inputs = z[t:].copy()
+        inputs[0] -= guess
+        inputs[1:] -= phi * z[t:-1]
+        error[t:] = decayed_sums(inputs, -theta)
     return error, scale
 
 
@@ -495,11 +508,23 @@ class Foundation(Forecaster):
         return float(row[LEVELS.index(0.5)]), dict(zip(LEVELS, row.tolist(), strict=True))
 
 
+def resolve_device(device: str = "auto") -> str:
+    """``device``, or for "auto" the graphics card if there is one that a model can use, else the processor."""
+    if device != "auto":
+        return device
+    try:
+        from torch import cuda
+    except ImportError:
+        return "cpu"
+    return "cuda" if cuda.is_available() else "cpu"
+
+
 _PIPELINES: dict[tuple[str, str], object] = {}
 
 
 def load_pipeline(checkpoint: str, device: str, loader: Callable[[str, str], object]) -> object:
     """A pretrained model, loaded once in a Python worker."""
+    device = resolve_device(device)
     if (checkpoint, device) not in _PIPELINES:
         _PIPELINES[checkpoint, device] = loader(checkpoint, device)
     return _PIPELINES[checkpoint, device]

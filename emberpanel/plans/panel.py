@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberpanel.functions.variance import DEFAULT_ESTIMATORS, SUFFIXES, estimate, with_intraday
 from emberpanel.operators import covariates as sources_of
-from emberpanel.operators.cleaning import columns_like, trim_warmup
+from emberpanel.operators.cleaning import columns_like, require_ohlc, trim_warmup
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,7 @@ class PanelConfig:
 
 def build_panel(bars: DataFrame, config: PanelConfig, *, intraday: DataFrame | None = None, **sources) -> DataFrame:
     """One plan for all tickers: rv_ columns, var_ columns, covariates; all windows share one shuffle by ticker."""
+    require_ohlc(bars)
     out = bars.where(F.col("ticker").isin(list(config.tickers))) if config.tickers else bars
     if "intraday_rv" in config.estimators:
         out = with_intraday(out, intraday)

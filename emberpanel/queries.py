@@ -5,6 +5,7 @@ Bars come from lineitem (ticker = return flag, day = ship date), intraday bars f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations_with_replacement
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from emberpanel.functions.options import black76_price
 from emberpanel.functions.variance import estimate, intraday_variance, yang_zhang_weight
 from emberpanel.operators import cleaning, covariates, diagnostics, published, scores, significance, smiles
+from emberpanel.operators.scores import LEVELS
 from emberpanel.plans import backtest, forecasters, panel
 from emberpanel.sources import archive, ivbank
 
@@ -23,21 +25,21 @@ ORACLE_SQL: dict[str, str] = {}
 DIGITS = 8
 
 
-def query(sql: str | None = None, doubles: str = "") -> Callable:
+def query(sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Callable:
     """Register a query; ``sql`` is its oracle, whose ``doubles`` are rounded like every double of the query."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql is not None:
-            swaps = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in doubles.split())
+            swaps = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split())
             ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({swaps}) FROM ({sql})" if swaps else sql
         return f
 
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(F.col(f"`{c}`"), DIGITS) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +72,14 @@ SECOND = "second AS (SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS
 
 
 def releases_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 37 = 0")
-    return urgent.select(F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("ticker"), F.to_date("o_orderdate").alias("date")).distinct()
+    """Each ticker's first urgent order of a quarter; orders go to tickers by number."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    dated = urgent.select(F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("ticker"), F.to_date("o_orderdate").alias("date"))
+    return dated.groupBy("ticker", F.trunc("date", "quarter")).agg(F.min("date").alias("date")).select("ticker", "date")
 
 
-RELEASES = "releases AS (SELECT DISTINCT ['A', 'N', 'R'][CAST(o_orderkey % 3 + 1 AS INT)] AS ticker, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 37 = 0)"
+RELEASES = """releases AS (SELECT ticker, min(date) AS date FROM (SELECT ['A', 'N', 'R'][CAST(o_orderkey % 3 + 1 AS INT)] AS ticker, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT')
+  GROUP BY ticker, date_trunc('quarter', date))"""
 
 
 def intraday_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +257,28 @@ def noise_ranking(spark, sf_dir):
     return diagnostics.noise_ranking(vols_of(spark, sf_dir))
 
 
+_RANKS = ", ".join(f"rank() OVER (PARTITION BY ticker ORDER BY k{c}) + (count(*) OVER (PARTITION BY ticker, k{c}) - 1) / 2.0 AS r{c}" for c in "xy")
+_TWO = [("rv_cc", "rv_cc"), ("rv_cc", "rv_gk"), ("rv_gk", "rv_gk")]
+_TWO_SQL = " UNION ALL ".join(f"SELECT ticker || '{a}{b}' AS ticker, ticker AS t, '{a}' AS a, '{b}' AS b, round({a}, 10) AS kx, round({b}, 10) AS ky FROM vols WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _TWO)
+
+
+@query(f"WITH {VOLS}, p AS ({_TWO_SQL}), r AS (SELECT *, {_RANKS} FROM p) SELECT t AS ticker, a, b, corr(rx, ry) AS correlation FROM r GROUP BY 1, 2, 3", "correlation")
+def spearman_correlation(spark, sf_dir):
+    return diagnostics.correlations(vols_of(spark, sf_dir).select("ticker", "date", "rv_cc", "rv_gk"), "spearman")
+
+
+@query(
+    f"""WITH {VOLS}, p AS ({_TWO_SQL}), s AS (SELECT l.t AS ticker, l.a, l.b, sign(l.kx - r.kx) AS sx, sign(l.ky - r.ky) AS sy FROM p l JOIN p r ON l.ticker = r.ticker AND (l.kx < r.kx OR (l.kx = r.kx AND l.ky < r.ky)))
+  SELECT ticker, a, b, sum(sx * sy) / (sqrt(count(*) FILTER (sx <> 0) ) * sqrt(count(*) FILTER (sy <> 0))) AS correlation FROM s GROUP BY 1, 2, 3""",
+    "correlation",
+)
+def kendall_correlation(spark, sf_dir):
+    return diagnostics.correlations(vols_of(spark, sf_dir).select("ticker", "date", "rv_cc", "rv_gk"), "kendall")
+
+
 @query(
-    f"""WITH {VOLS}, b AS (SELECT ticker, rv_gk AS x, rv_cc AS y FROM vols WHERE rv_gk IS NOT NULL AND rv_cc IS NOT NULL),
-r AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY x) + (count(*) OVER (PARTITION BY ticker, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY ticker ORDER BY y) + (count(*) OVER (PARTITION BY ticker, y) - 1) / 2.0 AS ry FROM b)
+    f"""WITH {VOLS}, b AS (SELECT ticker, rv_gk AS x, rv_cc AS y, round(rv_gk, 10) AS kx, round(rv_cc, 10) AS ky FROM vols WHERE rv_gk IS NOT NULL AND rv_cc IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY kx) + (count(*) OVER (PARTITION BY ticker, kx) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY ticker ORDER BY ky) + (count(*) OVER (PARTITION BY ticker, ky) - 1) / 2.0 AS ry FROM b)
 SELECT ticker, 'ok' AS status, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman, avg(x) / avg(y) AS mean_ratio FROM r GROUP BY 1""",
     "pearson spearman mean_ratio",
 )
@@ -288,8 +312,8 @@ def vol_panel_of(spark, sf_dir):
 
 
 def naive_results_of(spark, sf_dir):
-    rows = vol_panel_of(spark, sf_dir)
-    return backtest.naive_backtest(rows, "rv_gk", CONFIG, "random_walk").unionByName(backtest.naive_backtest(rows, "rv_gk", CONFIG, "historical_mean"))
+    """Both naive models' forecasts from one pass over the bars: a window each, a row a model and horizon."""
+    return backtest.naive_backtests(vol_panel_of(spark, sf_dir), "rv_gk", CONFIG, ("random_walk", "historical_mean"))
 
 
 def scored_of(spark, sf_dir):
@@ -439,7 +463,7 @@ def subsample_split(spark, sf_dir):
     "historical_mean random_walk",
 )
 def loss_matrix_pivot(spark, sf_dir):
-    return significance.loss_matrix(scored_of(spark, sf_dir), 5)
+    return significance.loss_matrix(scored_of(spark, sf_dir), 5, models=["historical_mean", "random_walk"])
 
 
 _DIFFS = """d AS (SELECT a.ticker, a.origin_date, a.model, a.qlike - b.qlike AS d FROM scored a JOIN scored b ON a.ticker = b.ticker AND a.origin_date = b.origin_date AND a.horizon = b.horizon
@@ -459,27 +483,63 @@ def dm_statistic(spark, sf_dir):
     return significance.dm_statistics(significance._differences(scored_of(spark, sf_dir).where("horizon = 5"), "random_walk", "qlike", ("model",)), ("model",), 5)
 
 
-@query()
+#: Two-sided p-value of Student's t with n - 1 degrees, by Simpson's rule over the density from 0 to the statistic.
+_DENSITY = "list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(least(abs(dm_stat), 40) * i / 4000.0, 2) / (n - 1), -n / 2.0)))"
+_P = f"CASE WHEN variance > 0 THEN greatest(0, 1 - 2 * exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt((n - 1) * pi()) * least(abs(dm_stat), 40) / 12000.0 * {_DENSITY}) ELSE 1.0 END"
+_VERDICT = "CASE WHEN p_value >= 0.05 THEN 'equal' WHEN mean_diff < 0 THEN 'better' ELSE 'worse' END"
+_DM5 = f"dm AS (SELECT *, CASE WHEN variance > 0 THEN mean_diff / sqrt(variance) * sqrt(greatest((n + 1 - 10 + 20.0 / n) / n, 1e-12)) ELSE 0 END AS dm_stat FROM h)"
+_DM1 = """d AS (SELECT a.ticker, a.origin_date, a.model, a.qlike - b.qlike AS d FROM scored a JOIN scored b ON a.ticker = b.ticker AND a.origin_date = b.origin_date AND a.horizon = b.horizon
+  WHERE a.horizon = 1 AND a.model <> 'random_walk' AND b.model = 'random_walk'),
+h AS (SELECT ticker, model, count(*) AS n, avg(d) AS mean_diff, var_pop(d) AS gamma0, var_pop(d) / count(*) AS variance FROM d GROUP BY 1, 2),
+dm AS (SELECT *, CASE WHEN variance > 0 THEN mean_diff / sqrt(variance) * sqrt(greatest((n - 1.0) / n, 1e-12)) ELSE 0 END AS dm_stat FROM h)"""
+
+
+@query(f"WITH {RESULTS}, {_DIFFS}, {_DM5}, pv AS (SELECT *, {_P} AS p_value FROM dm) SELECT *, {_VERDICT} AS verdict FROM pv", "mean_diff gamma0 variance dm_stat p_value")
 def dm_pvalues(spark, sf_dir):
     return significance.dm_against_benchmark(scored_of(spark, sf_dir), "random_walk", 5)
 
 
-@query()
+@query(f"WITH {RESULTS}, {_DM1}, p AS (SELECT *, {_P} AS p_value FROM dm) SELECT *, {_VERDICT} AS verdict FROM p", "mean_diff gamma0 variance dm_stat p_value")
 def dm_per_ticker(spark, sf_dir):
     return significance.dm_against_benchmark(scored_of(spark, sf_dir), "random_walk", 1, per_ticker=True)
 
 
-@query()
+@query(f"WITH {RESULTS}, {_DM1}, p AS (SELECT *, {_P} AS p_value FROM dm), v AS (SELECT model, {_VERDICT} AS verdict FROM p) SELECT model, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("better", "equal", "worse")) + " FROM v GROUP BY 1")
 def dm_verdict_table(spark, sf_dir):
     return significance.verdict_table(significance.dm_against_benchmark(scored_of(spark, sf_dir), "random_walk", 1, per_ticker=True))
 
 
-@query()
+def _mcs_sql(by: str, place: str) -> str:
+    """The set of two models by the bootstrap written out: blocks of five rows from digests, their sums off running sums."""
+    return f"""both_ AS (SELECT ticker, origin_date, avg(qlike) FILTER (model = 'historical_mean') AS a, avg(qlike) FILTER (model = 'random_walk') AS b FROM scored WHERE horizon = 5 GROUP BY 1, 2 HAVING a IS NOT NULL AND b IS NOT NULL),
+placed AS (SELECT *, {place} AS k, {by} AS set_ FROM both_),
+run AS (SELECT k, set_, row_number() OVER w AS pos, sum(a) OVER w AS a, sum(b) OVER w AS b FROM placed WINDOW w AS (PARTITION BY k ORDER BY ticker, origin_date ROWS UNBOUNDED PRECEDING)),
+sets AS (SELECT k, set_, max(pos) AS n, max_by(a, pos) AS all_a, max_by(b, pos) AS all_b FROM run GROUP BY 1, 2),
+draws AS (SELECT *, unnest(range(CAST(ceil(n / 5.0) AS BIGINT))) AS j FROM (SELECT *, unnest(range(500)) AS draw FROM sets)),
+blocks AS (SELECT *, ('0x' || substr(md5(k || ':' || draw || ':' || j), 1, 8))::BIGINT % n AS f, least(5, n - j * 5) AS long FROM draws),
+ends_ AS (SELECT k, draw, f AS pos, -1 AS sign FROM blocks UNION ALL SELECT k, draw, least(f + long, n), 1 FROM blocks UNION ALL SELECT k, draw, greatest(f + long - n, 0), 1 FROM blocks),
+sums AS (SELECT ends_.k, draw, sum(sign * a) AS a, sum(sign * b) AS b FROM ends_ JOIN run ON ends_.k = run.k AND ends_.pos = run.pos GROUP BY 1, 2),
+moves AS (SELECT sets.k, sets.set_, sets.n, all_a / sets.n AS ma, all_b / sets.n AS mb, (sums.a - sums.b) / sets.n - (all_a - all_b) / sets.n AS moved FROM sums JOIN sets ON sums.k = sets.k),
+scales AS (SELECT k, set_, n, ma, mb, sqrt(avg(moved * moved)) AS scale FROM moves GROUP BY 1, 2, 3, 4, 5),
+tested AS (SELECT scales.k, scales.set_, scales.n, scales.ma, scales.mb, avg(CASE WHEN abs(moved) >= abs(scales.ma - scales.mb) THEN 1.0 ELSE 0.0 END) AS p FROM scales JOIN moves ON scales.k = moves.k GROUP BY 1, 2, 3, 4, 5),
+each_ AS (SELECT *, 'historical_mean' AS model, ma AS mean_loss, ma > mb AS worst FROM tested UNION ALL SELECT *, 'random_walk', mb, mb > ma FROM tested),
+mcs AS (SELECT set_ AS ticker, model, mean_loss, CASE WHEN p >= 0.1 OR worst THEN p ELSE 0.1 END AS mcs_p, p >= 0.1 OR NOT worst AS included, CAST(CASE WHEN p < 0.1 AND worst THEN 1 END AS INT) AS eliminated_at, n AS n_obs FROM each_)"""
+
+
+_MCS_ALL, _MCS_EACH = _mcs_sql("CAST(NULL AS VARCHAR)", "0"), _mcs_sql("ticker", "dense_rank() OVER (ORDER BY ticker) - 1")
+
+
+@query(f"WITH {RESULTS}, {_MCS_ALL} SELECT * FROM mcs", "mean_loss mcs_p")
 def mcs(spark, sf_dir):
     return significance.model_confidence_sets(scored_of(spark, sf_dir), 5, draws=500)
 
 
-@query()
+@query(f"WITH {RESULTS}, {_MCS_EACH} SELECT * FROM mcs", "mean_loss mcs_p")
+def mcs_per_ticker(spark, sf_dir):
+    return significance.model_confidence_sets(scored_of(spark, sf_dir), 5, draws=500, per_ticker=True)
+
+
+@query(f"WITH {RESULTS}, {_MCS_EACH} SELECT model, 100 * avg(CASE WHEN included THEN 1.0 ELSE 0.0 END) AS inclusion_pct, count(*) AS n_assets FROM mcs GROUP BY 1", "inclusion_pct")
 def mcs_inclusion(spark, sf_dir):
     return significance.inclusion_rates(significance.model_confidence_sets(scored_of(spark, sf_dir), 5, draws=500, per_ticker=True))
 
@@ -559,7 +619,7 @@ def smile_interpolation(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BARS}, terms AS (SELECT ticker, CAST(year(date) AS INT) AS yr, (dayofyear(date) - 1) / 365.0 AS years, 0.1 + volume / 1000 AS v FROM bars WHERE month(date) IN (1, 2) AND day(date) % 9 <> 0),
+    f"""WITH {BARS}, terms AS (SELECT ticker, CAST(year(date) AS INT) AS yr, (dayofyear(date) - 1) / 365.0 AS years, 0.1 + volume / 1000 AS v FROM bars),
 ok AS (SELECT * FROM terms WHERE years >= 7 / 365.0), n AS (SELECT ticker, yr, max(years) AS t0, arg_max(v, years) AS v0 FROM ok WHERE years <= 30 / 365.0 GROUP BY 1, 2),
 f AS (SELECT ticker, yr, min(years) AS t1, arg_min(v, years) AS v1 FROM ok WHERE years > 30 / 365.0 GROUP BY 1, 2), ks AS (SELECT DISTINCT ticker, yr FROM terms)
 SELECT ticker, yr, CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN sqrt((v0 * v0 * t0 + (v1 * v1 * t1 - v0 * v0 * t0) * (30 / 365.0 - t0) / (t1 - t0)) / (30 / 365.0)) ELSE coalesce(v0, v1) END AS iv,
@@ -567,18 +627,26 @@ SELECT ticker, yr, CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN sqrt((v0 * v
     "iv",
 )
 def constant_maturity(spark, sf_dir):
-    bars = daily_bars_of(spark, sf_dir).where("month(date) in (1, 2) and day(date) % 9 <> 0")
-    terms = bars.select("ticker", F.year("date").alias("yr"), ((F.dayofyear("date") - 1) / 365.0).alias("years"), (F.col("volume") / 1000 + 0.1).alias("v"))
+    terms = daily_bars_of(spark, sf_dir).select("ticker", F.year("date").alias("yr"), ((F.dayofyear("date") - 1) / 365.0).alias("years"), (F.col("volume") / 1000 + 0.1).alias("v"))
     return smiles.constant_maturity(terms, "v", ("ticker", "yr"))
 
 
-@query()
+_AT = {"atm": 0.0, "m90": math.log(0.9), "m110": math.log(1.1)}
+_MATURED = "sqrt((near.{v} * near.{v} * near.t + (far.{v} * far.{v} * far.t - near.{v} * near.{v} * near.t) * (30 / 365.0 - near.t) / (far.t - near.t)) / (30 / 365.0))"
+_BETWEEN = ", ".join(f"max(CASE WHEN k <= {k0!r} THEN {{'k': k, 'v': sigma}} END) AS lo_{c}, min(CASE WHEN k >= {k0!r} THEN {{'k': k, 'v': sigma}} END) AS hi_{c}" for c, k0 in _AT.items())
+_LINES = ", ".join(f"CASE WHEN lo_{c}.k = hi_{c}.k THEN lo_{c}.v ELSE lo_{c}.v + (hi_{c}.v - lo_{c}.v) / (hi_{c}.k - lo_{c}.k) * ({k0!r} - lo_{c}.k) END AS {c}" for c, k0 in _AT.items())
+
+
+@query(
+    f"""WITH {CHAIN}, otm AS (SELECT *, ln(strike / (200 * exp(0.04 * years))) AS k FROM priced WHERE CASE type WHEN 'call' THEN strike >= 200 * exp(0.04 * years) ELSE strike < 200 * exp(0.04 * years) END),
+ends_ AS (SELECT years, {_BETWEEN} FROM otm GROUP BY 1), terms AS (SELECT years AS t, {_LINES} FROM ends_),
+found AS (SELECT {", ".join(_MATURED.format(v=c) + f" AS {c}" for c in _AT)} FROM (SELECT * FROM terms ORDER BY t LIMIT 1) near, (SELECT * FROM terms ORDER BY t LIMIT 1 OFFSET 1) far)
+SELECT 'X' AS ticker, '2026-10-01' AS asof, atm AS iv30, 'ok' AS iv30_flag, atm AS iv30_yahoo, 'ok' AS iv30_yahoo_flag, m90 AS m90_30, 'ok' AS m90_30_flag, m110 AS m110_30, 'ok' AS m110_30_flag, m90 - m110 AS skew FROM found""",
+    "iv30 iv30_yahoo m90_30 m110_30 skew",
+    6,
+)
 def chain_summary(spark, sf_dir):
-    chain = chain_of(spark)
-    points = smiles.smiles(chain, 200.0)
-    years = points.groupBy("ticker", "asof", "expiry").agg(F.max("years").alias("years"))
-    found = years.join(smiles.interpolate(points, smiles.POINTS, ("ticker", "asof", "expiry")), ["ticker", "asof", "expiry"])
-    return smiles.constant_maturity(found, "atm")
+    return smiles.summarize_chain(chain_of(spark).withColumn("impliedVolatility", F.col("sigma")), 200.0)[0]
 
 
 @query(
@@ -639,21 +707,100 @@ def _kernel(spark, sf_dir, models, config, exog=(), rows=None):
     return out.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in out.columns])
 
 
-@query()
+_QUANTILES = [f"q{q:g}".replace(".", "_") for q in LEVELS]
+_KERNEL_DOUBLES = " ".join(("forecast", "realized", *_QUANTILES))
+_SIZE = KERNEL.min_train
+
+
+def _slices(model: str, source: str, columns: str, residual, forecast: str, quantile: str, first: int) -> str:
+    """Rows of one model's results. ``source`` has a row a value (ticker, pos, date, n, y, and what ``columns`` and ``residual`` name).
+
+    For each horizon: ``columns`` (of the horizon) at each origin o, then residuals of the slice's rows i from its ``first`` on, then
+    the forecast and quantiles from them (``e`` the quantiles, ``ss`` the sum of squares, ``m`` how many).
+    """
+    parts = []
+    for h in HORIZONS:
+        lead = f"lead(y, {h}) OVER w AS realized, lead(date, {h}) OVER w AS target_date"
+        parts.append(f"""SELECT '{model}' AS model, ticker, date AS origin_date, target_date, CAST({h} AS INT) AS horizon, {forecast} AS forecast, realized, {", ".join(quantile.format(k=k) + f" AS {c}" for k, c in enumerate(_QUANTILES, 1))}
+  FROM (SELECT o.*, quantile_cont({residual(h)}, {list(LEVELS)}) AS e, sum(pow({residual(h)}, 2)) AS ss, count(*) AS m
+    FROM (SELECT *, {columns.format(h=h)}, {lead}, max(y) OVER f AS ymax, avg(y) OVER f AS ymean FROM {source} WINDOW w AS (PARTITION BY ticker ORDER BY pos), f AS (PARTITION BY ticker ORDER BY pos ROWS {_SIZE - 1} PRECEDING)) o
+    JOIN (SELECT ticker AS i_ticker, pos AS i_pos, {", ".join(f"lead({c}, {h}) OVER (PARTITION BY ticker ORDER BY pos) AS t_{c}" for c in "yz")}, COLUMNS(* EXCLUDE (ticker, pos)) AS 'i_\\0' FROM {source}) i
+      ON i_ticker = o.ticker AND i_pos BETWEEN o.pos - {_SIZE - 1 - first} AND o.pos - {h}
+    WHERE o.pos >= {_SIZE - 1} AND o.pos <= o.n - 2 AND o.target_date IS NOT NULL GROUP BY ALL)""")
+    return " UNION ALL ".join(parts)
+
+
+def _solved(k: int, frame: str) -> tuple[list[str], list[str]]:
+    """Columns of the normal equations over ``frame``, and then of each step of their elimination; the solution is c0, c1 and on."""
+    x = lambda j: "1.0" if j == 0 else f"x{j}"
+    sums = [f"sum({x(a)} * {x(b)}) OVER {frame} AS a0_{a}_{b}" for a in range(k) for b in range(a, k)]
+    sums += [f"sum({x(a)} * t) OVER {frame} AS a0_{a}_{k}" for a in range(k)]
+    steps = []
+    for p in range(k - 1):
+        steps.append(", ".join(f"a{p}_{a}_{b} - a{p}_{p}_{a} / a{p}_{p}_{p} * a{p}_{p}_{b} AS a{p + 1}_{a}_{b}" for a in range(p + 1, k) for b in range(a, k + 1)))
+    for p in range(k - 1, -1, -1):
+        known = "".join(f" - a{p}_{p}_{b} * c{b}" for b in range(p + 1, k))
+        steps.append(f"(a{p}_{p}_{k}{known}) / a{p}_{p}_{p} AS c{p}")
+    return sums, steps
+
+
+def _har_sql(model: str, z: str, xs: tuple[str, ...], forecast: str, quantile: str, extra: str = "") -> str:
+    """Direct least squares of z, h ahead, on ``xs`` over each slice, by normal equations."""
+    k = len(xs) + 1
+    parts, ctes = [], []
+    means = ", ".join(f"CASE WHEN count(z) OVER w{n} = {n} THEN avg(z) OVER w{n} END AS {c}" for n, c in ((5, "week"), (22, "month")))
+    named = ", ".join(f"{c} AS x{j}" for j, c in enumerate(xs, 1))
+    base = f"""SELECT ticker, pos, date, n, y, z, {named} FROM (SELECT *, z AS day, {means} FROM (SELECT s.*, {z} AS z{", b.* EXCLUDE (ticker, date)" if extra else ""} FROM s {extra}) WINDOW w5 AS (PARTITION BY ticker ORDER BY pos ROWS 4 PRECEDING), w22 AS (PARTITION BY ticker ORDER BY pos ROWS 21 PRECEDING))"""
+    ctes.append(f"{model}_base AS ({base})")
+    for h in HORIZONS:
+        frame = f"(PARTITION BY ticker ORDER BY pos ROWS BETWEEN {_SIZE - 22 - h} PRECEDING AND CURRENT ROW)"
+        # Rows stand at the place of their target, so a slice ends with its origin.
+        sums, steps = _solved(k, frame)
+        lagged = ", ".join(f"lag(x{j}, {h}) OVER (PARTITION BY ticker ORDER BY pos) AS x{j}" for j in range(1, k))
+        ctes.append(f"{model}_{h}_0 AS (SELECT ticker, pos, {', '.join(sums)} FROM (SELECT ticker, pos, z AS t, {lagged} FROM {model}_base))")
+        for n, step in enumerate(steps, 1):
+            ctes.append(f"{model}_{h}_{n} AS (SELECT *, {step} FROM {model}_{h}_{n - 1})")
+        ctes.append(f"{model}_{h} AS (SELECT b.*, {', '.join(f'c{j}' for j in range(k))} FROM {model}_base b JOIN {model}_{h}_{len(steps)} USING (ticker, pos))")
+        fitted = lambda p: "o.c0 + " + " + ".join(f"o.c{j} * {p}x{j}" for j in range(1, k))
+        parts.append(
+            _slices(model, f"{model}_{h}", f"c0 + {' + '.join(f'c{j} * x{j}' for j in range(1, k))} AS centre", lambda _, fitted=fitted: f"t_z - ({fitted('i_')})", forecast, quantile, 21).split(" UNION ALL ")[HORIZONS.index(h)]
+        )
+    return ", ".join(ctes), " UNION ALL ".join(parts)
+
+
+_GUARD = "greatest(CASE WHEN {v} > 0 AND {v} <= 10 * ymax THEN {v} ELSE ymean END, 1e-8)"
+_LEVEL, _ROOT = _GUARD.format(v="centre"), _GUARD.format(v="sqrt(greatest(centre, 0))")
+_HAR = _har_sql("har", "y", ("day", "week", "month"), _LEVEL, "greatest(centre + e[{k}], 1e-8)")
+_LOG_HAR = _har_sql("log_har", "ln(y)", ("day", "week", "month"), "greatest(exp(centre + ss / (m - 4) / 2), 1e-8)", "greatest(exp(centre + e[{k}]), 1e-8)")
+_EXOG = "JOIN (SELECT ticker, date, var_parkinson * 25.2 AS jump, var_parkinson * 138.6 AS var_rsp, pow(c, 2) * 113.4 AS var_rsn, pow(var_parkinson * 252, 2) * 3 AS var_rq FROM daily) b USING (ticker, date)"
+_BACK = "greatest(sqrt(greatest(centre + e[{k}], 0)), 1e-8)"
+_HARJ = _har_sql("har_j", "y * y", ("day", "week", "month", "jump"), _ROOT, _BACK, _EXOG)
+_HARRS = _har_sql("har_rs", "y * y", ("var_rsp", "var_rsn", "week", "month"), _ROOT, _BACK, _EXOG)
+_HARQ = _har_sql("harq", "y * y", ("day", "week", "month", "sqrt(var_rq) * day"), _ROOT, _BACK, _EXOG)
+
+
+@query(f"WITH {SERIES}, {_HAR[0]}, {_LOG_HAR[0]} {_HAR[1]} UNION ALL {_LOG_HAR[1]}", _KERNEL_DOUBLES, 6)
 def log_har_backtest(spark, sf_dir):
     return _kernel(spark, sf_dir, {"log_har": forecasters.LogHAR, "har": forecasters.HAR}, KERNEL)
 
 
-@query()
+@query(f"WITH {SERIES}, {_HARJ[0]}, {_HARRS[0]}, {_HARQ[0]} {_HARJ[1]} UNION ALL {_HARRS[1]} UNION ALL {_HARQ[1]}", _KERNEL_DOUBLES, 6)
 def har_exog_backtest(spark, sf_dir):
     bars = estimate(estimate(daily_bars_of(spark, sf_dir), "garman_klass"), "parkinson")
     half = F.col("var_parkinson") * 252
-    rows = bars.select("ticker", "date", "rv_gk", (half * 0.1).alias("jump"), (half * 0.55).alias("var_rsp"), (half * 0.45).alias("var_rsn"), (half * half * 3).alias("var_rq"))
+    fall = F.pow(F.ln(F.col("close") / F.col("open")), F.lit(2.0)) * 252
+    rows = bars.select("ticker", "date", "rv_gk", (half * 0.1).alias("jump"), (half * 0.55).alias("var_rsp"), (fall * 0.45).alias("var_rsn"), (half * half * 3).alias("var_rq"))
     models = {m.name: m for m in (forecasters.HARJ, forecasters.HARRS, forecasters.HARQ)}
     return _kernel(spark, sf_dir, models, KERNEL, ("jump", "var_rsp", "var_rsn", "var_rq"), rows)
 
 
-@query()
+#: Levels of a slice that starts at any row, off one running sum: g is the sum of all values before, each decayed to its row.
+_EWMA = f"""g AS (SELECT ticker, pos, date, n, y, y AS z, pow(0.94, pos) * sum(0.06 * y * pow(0.94, -pos)) OVER (PARTITION BY ticker ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM s),
+starts AS (SELECT *, lag(y, {_SIZE - 1}) OVER w AS y0, lag(g, {_SIZE - 1}) OVER w AS g0 FROM g WINDOW w AS (PARTITION BY ticker ORDER BY pos))"""
+_EWMA_ROWS = _slices("ewma_0.94", "starts", f"g + pow(0.94, {_SIZE - 1}) * (y0 - g0) AS centre", lambda h: f"t_y - (i_g + pow(0.94, i_pos - o.pos + {_SIZE - 1}) * (o.y0 - o.g0))", "greatest(centre, 1e-8)", "greatest(centre + e[{k}], 1e-8)", 0)
+
+
+@query(f"WITH {SERIES}, {_EWMA} {_EWMA_ROWS}", _KERNEL_DOUBLES, 6)
 def ewma_backtest(spark, sf_dir):
     return _kernel(spark, sf_dir, {"ewma_0.94": forecasters.EWMA}, KERNEL)
 
@@ -673,13 +820,22 @@ def arfima_backtest(spark, sf_dir):
     return _kernel(spark, sf_dir, {"arfima": forecasters.ARFIMA}, KERNEL)
 
 
-@query()
+@query(
+    f"""WITH {SERIES}, m AS (SELECT unnest(['har', 'log_har']) AS model) SELECT model, ticker, count(*) FILTER (pos BETWEEN {_SIZE - 1} AND n - 2) AS origins, 0 AS failed_fits, 0 AS failed_forecasts, 0 AS floored_forecasts, 0 AS insanity_filtered
+  FROM s, m GROUP BY 1, 2"""
+)
 def backtest_diagnostics(spark, sf_dir):
     raw = backtest.run_backtest(vol_panel_of(spark, sf_dir), "rv_gk", {"log_har": forecasters.LogHAR, "har": forecasters.HAR}, KERNEL)
     return backtest.diagnostics(raw).drop("seconds")
 
 
-@query()
+@query(
+    f"""WITH {SERIES}, x AS (SELECT ticker, row_number() OVER w - 1 AS t, ln(y) - avg(ln(y)) OVER (PARTITION BY ticker) AS x, count(*) OVER (PARTITION BY ticker) AS n FROM s WHERE y > 0 WINDOW w AS (PARTITION BY ticker ORDER BY pos)),
+f AS (SELECT ticker, n, unnest(range(1, least(greatest(4, CAST(floor(sqrt(n)) AS BIGINT)), (n - 1) // 2) + 1)) AS j FROM (SELECT DISTINCT ticker, n FROM x)),
+p AS (SELECT f.ticker, f.n, f.j, (pow(sum(x * cos(2 * pi() * j * t / x.n)), 2) + pow(sum(x * sin(2 * pi() * j * t / x.n)), 2)) / (2 * pi() * f.n) AS level FROM f JOIN x ON f.ticker = x.ticker GROUP BY 1, 2, 3)
+SELECT ticker, least(greatest(-regr_slope(ln(level), ln(4 * pow(sin(pi() * j / n), 2))), 0), 0.499) AS d FROM p WHERE level > 0 GROUP BY 1""",
+    "d",
+)
 def gph_d(spark, sf_dir):
     rows = backtest.series(vol_panel_of(spark, sf_dir), "rv_gk").where("y > 0")
 

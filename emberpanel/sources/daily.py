@@ -9,7 +9,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberpanel.operators.cleaning import between_dates, clean_bars, flag_bars, normalize_date, quality_report
+from emberpanel.operators.cleaning import between_dates, clean_bars, flag_bars, normalize_date, quality_report, require_ohlc
 
 T = TypeVar("T")
 
@@ -47,9 +47,12 @@ def daily_bars(source: DataFrame, tickers: list[str] | None = None, start=None,
 
 
 def load_bars(source: DataFrame, sequence: str | None = None, **bounds) -> tuple[DataFrame, DataFrame]:
-    """(clean bars, report of what was dropped)."""
-    raw = daily_bars(source, **bounds)
-    return clean_bars(raw, sequence), quality_report(flag_bars(raw, sequence))
+    """(clean bars, report of what was dropped); of a date's several rows the last one stays, by ``sequence`` or as they stand in the source."""
+    if sequence is None:
+        source = source.withColumn("_row", F.monotonically_increasing_id())
+    raw = require_ohlc(daily_bars(source, **bounds))
+    clean, report = clean_bars(raw, sequence or "_row"), quality_report(flag_bars(raw, sequence or "_row"))
+    return clean.drop("_row"), report
 
 
 def intraday_bars(source: DataFrame | None, tickers: list[str] | None = None) -> DataFrame | None:
