@@ -9,6 +9,7 @@ goes to the next round. New sequences are opened for documents that no gap holds
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -156,12 +157,48 @@ def _round(state: DataFrame, opened: DataFrame, capacity: int, largest: int, lea
     return settle(kept.unionByName(again))
 
 
+def remaining_rounds(docs: list[tuple[int, int]], gaps: dict[int, int], opened: int, capacity: int) -> list[tuple[int, int, int]]:
+    """(id, sequence_id, offset) of the documents (id, size): the same rounds over what one task holds; new sequences are numbered from ``opened``."""
+    out, docs, gaps = [], sorted(docs, key=lambda d: (-d[1], d[0])), dict(gaps)
+    while docs:
+        for _ in range(sequences_needed(Counter(size for _, size in docs), max(gaps.values(), default=0), capacity)):
+            gaps[opened] = capacity
+            opened += 1
+        largest, least = docs[0][1], docs[-1][1]
+        rows = [(-size, 1, k) for k, (_, size) in enumerate(docs)]
+        for sequence, gap in gaps.items():
+            if gap >= least:
+                several = max(1, gap // largest)
+                rows += [(-(gap - (several - 1) * largest), 0, sequence), *[(-largest, 0, sequence)] * (several - 1)]
+        rows.sort()
+        pairs, waiting, _ = sweep([row[1] == 0 for row in rows])
+        for doc, slot in pairs:
+            number, size = docs[rows[doc][2]]
+            sequence = rows[slot][2]
+            out.append((number, sequence, capacity - gaps[sequence]))
+            gaps[sequence] -= size
+        docs = [docs[rows[k][2]] for k in waiting]
+    return out
+
+
+def _finish(state: DataFrame, opened: int, capacity: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("kind", "id", "size", "sequence_id")), strict=True)]
+        found = remaining_rounds([r[1:3] for r in rows if r[0] == WAITING], {r[3]: r[2] for r in rows if r[0] == GAP}, opened, capacity)
+        if found:
+            kinds = (pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["id", "sequence_id", "offset"])
+
+    return settle(state.where(F.col("kind") != PLACED).repartition(1).mapInArrow(run, "id long, sequence_id long, offset int"))
+
+
 def place(pieces: DataFrame, *, capacity: int, task_rows: int = 50_000) -> DataFrame:
     """(id, sequence_id, offset) for each (id, size), 0 < size <= capacity; ``id`` must be unique and not null.
 
     Rounds go on until every document has a place: each opens what documents over the largest gap need at least, and places
-    a document in every gap that one fits. A task holds about ``task_rows`` documents and gaps, in every round. Sequences hold at
-    most ``capacity``, without gaps between documents. No documents give no rows.
+    a document in every gap that one fits. A task holds about ``task_rows`` documents and gaps, in every round; once all that is
+    left is no more than that, one task does the rounds that remain. Sequences hold at most ``capacity``, without gaps between
+    documents. No documents give no rows.
     """
     spark = pieces.sparkSession
     state = pieces.select(F.lit(WAITING).alias("kind"), F.col("id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("int").alias("offset"))
@@ -175,10 +212,12 @@ def place(pieces: DataFrame, *, capacity: int, task_rows: int = 50_000) -> DataF
         if not waiting:
             return placed
         more = sequences_needed(waiting, max(gaps, default=0), capacity)
-        new = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("gap"))
-        opened += more
         largest, least = max(waiting), min(waiting)
         rows = sum(waiting.values()) + sum(n * max(1, g // largest) for g, n in gaps.items() if g >= least) + more * max(1, capacity // largest)
+        if rows <= task_rows:
+            return placed.unionByName(_finish(state, opened, capacity))
+        new = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).alias("gap"))
+        opened += more
         state = _round(state, new, capacity, largest, least, ceil(rows / task_rows))
         placed = placed.unionByName(state.where(F.col("kind") == PLACED).select("id", "sequence_id", "offset"))
 
