@@ -62,6 +62,8 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--no-mem", action="store_true")
     r.add_argument("--with-naive", action="store_true")
     r.add_argument("--max-origins", type=int)
+    r.add_argument("--vix", help="index bars with date and close, for models with covariates")
+    r.add_argument("--releases", help="release dates by ticker, likewise")
     r.add_argument("--ingest-only", action="store_true")
     for q, draws in ((p, None), (b, 1000), (r, 500)):
         if draws:
@@ -158,7 +160,9 @@ def run_replication(spark: SparkSession, args: argparse.Namespace) -> int:
     exog = () if args.no_exog_models else ("jump", "var_rsp", "var_rsn", "var_rq")
     value = f"rv_{args.measure}"
     rows = archive.load_series(spark, source, value, exog, args.max_assets)
-    there = tuple(c for c in exog if c in rows.columns)
+    vix = daily.read_any(spark, args.vix).select(F.to_date("date").alias("date"), F.col("close").cast("double").alias("close")) if args.vix else None
+    rows = foundation_covariates(rows, vix, daily.release_dates(daily.read_any(spark, args.releases), spark) if args.releases else None)
+    there = tuple(c for c in (*exog, "vix", "days_to_earnings") if c in rows.columns)
     config = backtest.BacktestConfig(horizons=tuple(args.horizons), scheme="rolling", min_train=args.window_size, refit_frequency=args.refit, max_origins=args.max_origins, target="average" if args.track == "aggregate" else "point")
     models = forecasters.published_models(exog=bool(there), slow=not args.no_slow_models, mem=not args.no_mem, naive=args.with_naive)
     raw = backtest.run_backtest(rows, value, models, config, there, origins_per_task=250)

@@ -100,6 +100,13 @@ def build(panel: DataFrame, wanted: tuple[str, ...], *, vix: DataFrame | None =
     return panel
 
 
+def companions(panel: DataFrame, value: str, tickers: tuple[str, ...]) -> DataFrame:
+    """Add companion_<ticker> for each of ``tickers``: its value on the row's date; null on the ticker's own rows and where it has none."""
+    wide = panel.where(F.col("ticker").isin(list(tickers))).groupBy(F.col("date").alias("_date")).pivot("ticker", list(tickers)).agg(F.first(value))
+    out = panel.join(wide, panel["date"] == wide["_date"], "left")
+    return out.select(*[panel[c] for c in panel.columns], *[F.when(panel["ticker"] != t, wide[t]).alias(f"companion_{t}") for t in tickers])
+
+
 def missing_counts(panel: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Rows and missing values of each covariate, by ticker."""
     return panel.groupBy("ticker").agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(n).isNull()).alias(f"missing_{n}") for n in names])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -149,16 +151,18 @@ def walk_forward(dates: np.ndarray, y: np.ndarray, exog: dict[str, np.ndarray],
             yield row | (flags if k == 0 else dict.fromkeys(flags, 0))
 
 
-def run_backtest(panel: DataFrame, value: str, models: dict[str, Callable[[], Forecaster]], config: BacktestConfig, exog: tuple[str, ...] = (), origins_per_task: int | None = None) -> DataFrame:
+def run_backtest(panel: DataFrame, value: str, models: dict[str, Callable[[], Forecaster] | Forecaster], config: BacktestConfig, exog: tuple[str, ...] = (), origins_per_task: int | None = None) -> DataFrame:
     """Results of every model on every ticker, with flags for ``diagnostics``.
 
     A task has one model, ticker and block of origins. Blocks (``origins_per_task``, rounded up to whole refit cycles) start at
     a refit, so what a model keeps between refits never crosses one; without blocks a task has a whole series. A ticker's series,
     a few thousand rows, is copied to each of its blocks.
     """
+    made = {}
     for name, make in models.items():
-        if not callable(make):
-            raise TypeError(f"{name}: a model is given as a callable that makes it")
+        if not (callable(make) or isinstance(make, Forecaster)):
+            raise TypeError(f"{name}: a model is given as a callable that makes it, or as an instance to copy")
+        made[name] = partial(copy.deepcopy, make) if isinstance(make, Forecaster) else make
     size = None if origins_per_task is None else -(-origins_per_task // config.refit_frequency) * config.refit_frequency
     rows = panel.select("ticker", "date", known(F.col(value)).alias("y"), *exog).where("y is not null")
     rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
@@ -173,7 +177,7 @@ def run_backtest(panel: DataFrame, value: str, models: dict[str, Callable[[], Fo
         pdf = pdf.sort_values("date")
         block = int(pdf["block"].iloc[0])
         steps = (block * size, (block + 1) * size) if size else None
-        found = walk_forward(pdf["date"].to_numpy(), pdf["y"].to_numpy(float), {c: pdf[c].to_numpy(float) for c in exog}, models[pdf["model"].iloc[0]](), config, steps)
+        found = walk_forward(pdf["date"].to_numpy(), pdf["y"].to_numpy(float), {c: pdf[c].to_numpy(float) for c in exog}, made[pdf["model"].iloc[0]](), config, steps)
         out = pd.DataFrame(list(found), columns=_COLUMNS)
         return out.assign(ticker=pdf["ticker"].iloc[0], model=pdf["model"].iloc[0])
 

@@ -486,11 +486,14 @@ class Foundation(Forecaster):
     """Adapter of a pretrained model: ``predict(context, past, future, horizon, levels)`` gives (horizon, levels) quantiles.
 
     One call serves all horizons of an origin. Missing values of past covariates are their median; covariates without any value
-    and incomplete future ones are left out; companions are other tickers' series, given as past covariates.
+    and incomplete future ones are left out. ``companions`` are columns of other tickers' series on the same dates; one that is
+    missing on more than half of them (so a ticker's own) is left out. A ``seed`` is set before every call, so a model that
+    draws gives the same for an origin in whatever task it runs.
     """
 
-    def __init__(self, predict, name: str = "foundation", past: tuple[str, ...] = (), future: str | None = None, longest: int = 22, context: int = 2048):
+    def __init__(self, predict, name: str = "foundation", past: tuple[str, ...] = (), future: str | None = None, longest: int = 22, context: int = 2048, companions: tuple[str, ...] = (), seed: int | None = None):
         self.predict, self.name, self.past, self.future, self.longest, self.context = predict, name, past, future, longest, context
+        self.companions, self.seed = companions, seed
         super().__init__()
 
     def _estimate(self):
@@ -499,6 +502,11 @@ class Foundation(Forecaster):
             if c in self.exog and np.isfinite(self.exog[c]).any():
                 v = self.exog[c][-self.context :]
                 past[c] = np.where(np.isfinite(v), v, np.nanmedian(v))
+        for c in self.companions:
+            if c in self.exog and np.isfinite(v := self.exog[c][-self.context :]).mean() >= 0.5:
+                past[c] = np.where(np.isfinite(v), v, np.nanmedian(v))
+        if self.seed is not None:
+            np.random.seed(self.seed)  # noqa: NPY002 - models draw from the global generator
         ahead = self.exog.get(f"{self.future}_ahead") if self.future else None
         future = ahead[: self.longest] if ahead is not None and len(ahead) >= self.longest and np.isfinite(ahead[: self.longest]).all() else None
         self.grid = np.asarray(self.predict(self.y[-self.context :], past, future, self.longest, LEVELS), float)

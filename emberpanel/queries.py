@@ -6,6 +6,8 @@ Bars come from lineitem (ticker = return flag, day = ship date), intraday bars f
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 from itertools import combinations_with_replacement
 
@@ -236,6 +238,28 @@ def sector_vol_join(spark, sf_dir):
     return out.select("ticker", "date", "sector_etf_vol")
 
 
+@query(
+    f"""WITH {_ANCHORS}, {SECOND}, j AS (SELECT bars.ticker, bars.date, bars.volume, v.close AS v, r.close AS r FROM bars LEFT JOIN (SELECT * FROM second WHERE ticker = 'BUILDING') v ON v.date = bars.date LEFT JOIN (SELECT * FROM second WHERE ticker = 'MACHINERY') r ON r.date = bars.date)
+  SELECT j.ticker, j.date, last_value(v IGNORE NULLS) OVER w AS vix, last_value(r IGNORE NULLS) OVER w AS risk_free_rate, volume, CAST(EXISTS (SELECT 1 FROM a, p WHERE a.ticker = j.ticker AND p.ticker = j.ticker AND p.date = j.date AND p.pos BETWEEN a.pos - 1 AND a.pos + 1) AS TINYINT) AS earnings_flag
+  FROM j WINDOW w AS (PARTITION BY j.ticker ORDER BY j.date ROWS UNBOUNDED PRECEDING)""",
+    "vix risk_free_rate volume",
+)
+def covariate_panel(spark, sf_dir):
+    rate = second_panel_of(spark, sf_dir).where("ticker = 'MACHINERY'").select("date", "close")
+    out = covariates.build(daily_bars_of(spark, sf_dir).select("ticker", "date", "volume"), ("vix", "risk_free_rate", "volume", "earnings_flag"), vix=index_of(spark, sf_dir), rate=rate, releases=releases_of(spark, sf_dir))
+    return out.select("ticker", "date", "vix", "risk_free_rate", "volume", "earnings_flag")
+
+
+@query(f"WITH {VOLS} SELECT vols.ticker, vols.date, rv_cc, rv_gk, var_cc, var_gk, vols.volume FROM vols JOIN daily USING (ticker, date) WHERE rv_cc IS NOT NULL OR rv_gk IS NOT NULL", "rv_cc rv_gk var_cc var_gk volume")
+def panel_build(spark, sf_dir):
+    return panel.build_panel(daily_bars_of(spark, sf_dir), panel.PanelConfig(estimators=("close_to_close", "garman_klass"), covariates=("volume",)))
+
+
+@query(f"WITH {BARS} SELECT b.ticker, b.date, b.close, CASE WHEN b.ticker <> 'A' THEN a.close END AS \"companion_A\", CASE WHEN b.ticker <> 'R' THEN r.close END AS \"companion_R\" FROM bars b LEFT JOIN bars a ON a.ticker = 'A' AND a.date = b.date LEFT JOIN bars r ON r.ticker = 'R' AND r.date = b.date", 'close "companion_A" "companion_R"')
+def companion_series(spark, sf_dir):
+    return covariates.companions(daily_bars_of(spark, sf_dir).select("ticker", "date", "close"), "close", ("A", "R"))
+
+
 # Diagnostics ----------------------------------------------------------------------------------------------------------------
 
 _PAIRS = list(combinations_with_replacement(VOL_NAMES, 2))
@@ -572,6 +596,28 @@ def reference_agreement(spark, sf_dir):
     return published.agreement(compared_of(spark))
 
 
+@query(f"WITH {COMPARED} SELECT model, our_ratio, published_ratio, ratio_diff, ratio_pct_diff, our_qlike_pooled, published_qlike, qlike_pct_diff FROM compared WHERE horizon = 5", "our_ratio published_ratio ratio_diff ratio_pct_diff our_qlike_pooled published_qlike qlike_pct_diff")
+def reference_headline(spark, sf_dir):
+    return published.at_horizon(compared_of(spark), 5)
+
+
+@query(f"WITH {COMPARED} SELECT model, " + ", ".join(f"max(our_ratio) FILTER (horizon = {h}) AS ratio_{h}" for h in published.HORIZONS) + " FROM compared GROUP BY 1", " ".join(f"ratio_{h}" for h in published.HORIZONS))
+def ratio_by_horizon(spark, sf_dir):
+    return published.ratio_pivot(compared_of(spark))
+
+
+@query(
+    f"""WITH {RESULTS}, {_MCS_EACH}, rates AS (SELECT CASE model WHEN 'random_walk' THEN 'log_har' ELSE 'har' END AS model, 100 * avg(CASE WHEN included THEN 1.0 ELSE 0.0 END) AS inclusion_pct, count(*) AS n_assets FROM mcs GROUP BY 1),
+labels AS (SELECT * FROM (VALUES {_LABELS}) t(model, published_model)), published AS (SELECT * FROM (VALUES {_TABLE(published.INCLUSION)}) t(published_model, horizon, published_mcs))
+SELECT published_model, rates.model, inclusion_pct, n_assets, published_mcs FROM rates LEFT JOIN labels USING (model) LEFT JOIN published USING (published_model) WHERE horizon = 5""",
+    "inclusion_pct published_mcs",
+)
+def reference_inclusion(spark, sf_dir):
+    sets = significance.model_confidence_sets(scored_of(spark, sf_dir), 5, draws=500, per_ticker=True)
+    named = sets.withColumn("model", F.when(F.col("model") == "random_walk", "log_har").otherwise("har"))
+    return published.with_inclusion(significance.inclusion_rates(named), 5).select("published_model", "model", "inclusion_pct", "n_assets", "published_mcs")
+
+
 # Implied volatility ---------------------------------------------------------------------------------------------------------
 
 #: A made chain: spot 200, a smile in strike, four expiries in years.
@@ -694,6 +740,39 @@ def realized_measure_schema(spark, sf_dir):
     return found.withColumn("status", F.coalesce("drop_reason", F.lit("kept"))).drop("drop_reason")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: below the checkpoint folder, or a temporary one in a local session."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+
+
+@query(
+    f"""WITH {DAILY}, m AS (SELECT ticker, date, CASE WHEN day(date) <> 3 OR var_parkinson = 0 THEN var_parkinson END AS v, CASE WHEN ticker = 'R' AND day(date) <> 5 THEN var_parkinson * (day(date) / 20.0) END AS bv FROM daily)
+  SELECT ticker, date, v AS var_rv5, sqrt(v) AS rv_rv5, bv AS var_bv, CASE WHEN bv IS NOT NULL THEN greatest(v - bv, 0) END AS jump FROM m WHERE v > 0""",
+    "var_rv5 rv_rv5 var_bv jump",
+)
+def archive_panel(spark, sf_dir):
+    """Three assets written as an archive, in folders by symbol: CSV of two column orders and names, and Parquet; read back as a panel."""
+    rows, root = measures_of(spark, sf_dir), scratch(spark)
+    own = lambda t: rows.where(F.col("ticker") == t)
+    own("A").select("date", "rv5", "rq").write.csv(f"{root}/a", header=True)
+    own("N").select(F.col("rq").alias("RQ5"), F.col("rv5").alias("realized_variance_5min"), "date").write.csv(f"{root}/n", header=True)
+    own("R").select("rv5", F.col("bv").alias("bipower_variation"), "date").write.parquet(f"{root}/r")
+    found, _ = archive.build_archive(spark, archive.ArchiveConfig(root=root, min_observations=1))
+    return found.select("ticker", "date", "var_rv5", "rv_rv5", "var_bv", "jump")
+
+
+@query(f"WITH {DAILY}, m AS (SELECT ticker, CASE WHEN day(date) <> 3 OR var_parkinson = 0 THEN var_parkinson END AS v FROM daily WHERE ticker <> 'R') SELECT ticker, count(*) AS rows, count(*) FILTER (v > 0) AS kept, count(*) FILTER (v IS NULL OR v <= 0) AS dropped_target, true AS found FROM m GROUP BY 1 UNION ALL SELECT 'GONE', 0, 0, 0, false")
+def archive_report(spark, sf_dir):
+    rows, root = measures_of(spark, sf_dir), scratch(spark)
+    for t in ("A", "N"):
+        rows.where(F.col("ticker") == t).drop("ticker").write.csv(f"{root}/{t}", header=True)
+    _, report = archive.build_archive(spark, archive.ArchiveConfig(root=root, symbols=("A", "N", "gone"), min_observations=1))
+    return report.select("ticker", "rows", "kept", "dropped_target", "found")
+
+
 # Models in grouped-map kernels ----------------------------------------------------------------------------------------------
 
 #: Models are fitted anew at every origin, as by the reference's default.
