@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,10 @@ def loss_matrix(scored: DataFrame, horizon: int, loss: str = "qlike", models: li
     """
     rows = scored.where((F.col("horizon") == horizon) & F.col(loss).isNotNull())
     names = models or [r[0] for r in rows.select("model").distinct().orderBy("model").collect()]
-    return rows.groupBy("ticker", "origin_date").pivot("model", names).agg(F.avg(loss)).dropna("any", subset=names) if names else rows.select("ticker", "origin_date")
+    if not names:
+        return rows.select("ticker", "origin_date")
+    wide = rows.groupBy("ticker", "origin_date").pivot("model", names).agg(F.avg(loss))
+    return wide.where(reduce(and_, [F.col(f"`{m}`").isNotNull() for m in names]))
 
 
 def _differences(scored: DataFrame, benchmark: str, loss: str, keys: tuple[str, ...]) -> DataFrame:

@@ -126,6 +126,21 @@ def test_correlations(spark):
     assert got["spearman"] == pytest.approx(ranks)
     d = np.sign(np.subtract.outer(x, x)) * np.sign(np.subtract.outer(frame["rv_b"].to_numpy(), frame["rv_b"].to_numpy()))
     assert got["kendall"] == pytest.approx(d.sum() / (60 * 59))
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 50, 257):
+        a, b = rng.integers(0, 9, n).astype(float), rng.integers(0, 7, n).astype(float)
+        sa, sb = np.sign(np.subtract.outer(a, a)), np.sign(np.subtract.outer(b, b))
+        norm = math.sqrt((sa != 0).sum() * (sb != 0).sum())
+        assert diagnostics.kendall(a, b) == pytest.approx((sa * sb).sum() / norm) if norm else math.isnan(diagnostics.kendall(a, b))
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_ranks_agree_with_sql_at_every_scale(spark, scale):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('/root/testdata/sf{scale}/lineitem.parquet')")
+    got = queries.QUERIES["spearman_compare"](spark, f"/root/testdata/sf{scale}").toPandas().sort_values("ticker").reset_index(drop=True)
+    want = con.execute(queries.ORACLE_SQL["spearman_compare"]).fetchdf().sort_values("ticker").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(got)], check_dtype=False, rtol=0, atol=2e-8)
 
 
 # forecasters and backtests
@@ -286,6 +301,37 @@ def test_significance(spark):
     assert (z.dm_stat, z.p_value, z.verdict) == (0.0, 1.0, "equal")
 
 
+def test_sets_added_up_in_spark_are_the_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    days = pd.bdate_range("2020-01-01", periods=83).date
+    frame = pd.concat([pd.DataFrame({"model": m, "ticker": t, "origin_date": days[: 83 - 20 * k], "horizon": 3, "qlike": rng.normal(1 + 0.3 * (m == "c"), 0.4, 83 - 20 * k)}) for k, t in enumerate("PQR") for m in "abc"])
+    table = spark.createDataFrame(frame)
+    for per_ticker in (False, True):
+        got = {(r.ticker, r.model): r for r in significance.model_confidence_sets(table, 3, draws=60, seed=5, per_ticker=per_ticker).collect()}
+        parts = [(t, own) for t, own in frame.groupby("ticker")] if per_ticker else [(None, frame)]
+        assert len(got) == 3 * len(parts)
+        for k, (ticker, own) in enumerate(parts):
+            wide = own.pivot(index=["ticker", "origin_date"], columns="model", values="qlike").sort_index()
+            want = significance.confidence_set(wide.to_numpy(), list("abc"), draws=60, block=3, seed=5 + k)
+            for w in want.itertuples():
+                r = got[ticker, w.model]
+                assert (r.mean_loss, r.mcs_p) == pytest.approx((w.mean_loss, w.mcs_p)) and (r.included, r.n_obs) == (w.included, w.n_obs)
+                assert r.eliminated_at == (None if pd.isna(w.eliminated_at) else w.eliminated_at)
+
+
+def test_lags_run_over_the_bounds_of_tickers(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"P": 30, "Q": 2, "R": 1, "S": 40}
+    frame = pd.concat([pd.DataFrame({"ticker": t, "model": m, "origin_date": pd.bdate_range("2020-01-01", periods=n).date, "d": rng.normal(0.1, 1, n)}) for t, n in sizes.items() for m in "ab"])
+    for horizon in (1, 2, 5):
+        got = {r.model: r for r in significance.hac_variance(spark.createDataFrame(frame), ("model",), horizon).collect()}
+        for m in "ab":
+            d = frame[frame["model"] == m].sort_values(["ticker", "origin_date"])["d"].to_numpy()
+            e, n = d - d.mean(), len(d)
+            long = e @ e / n + sum(2 * (1 - k / horizon) * (e[k:] @ e[:-k]) / n for k in range(1, horizon))
+            assert got[m].variance == pytest.approx((long if long > 0 else e @ e / n) / n) and got[m].n == n
+
+
 def test_published(spark):
     assert len(published.EQUITIES) == 40 and published.reference_table(spark, "qlike").count() == 51
     with pytest.raises(ValueError):
@@ -358,6 +404,72 @@ def test_archive_layouts(spark, tmp_path):
         archive.ArchiveConfig(root="x", measure="nope")
 
 
+def test_archive_files_are_read_by_their_own_headers(spark, tmp_path):
+    root = tmp_path / "vol"
+    (root / "vol").mkdir(parents=True)
+    (root / "AAA.csv").write_text("date,rv5,close\n2020-01-02,0.02,50\n2020-01-03,0.03,51\n")
+    (root / "BBB.csv").write_text("date,close,realized_variance_5min\n2020-01-02,70,0.04\n2020-01-02,71,0.05\n")
+    (root / "vol" / "x.csv").write_text("Date,RV5\n2020-01-06,0.06\n")
+    pd.DataFrame({"DATE": ["2020-01-02"], "RV_5": [0.07]}).to_parquet(root / "CCC.parquet")
+    (root / "DDD.parquet").write_bytes(b"no parquet at all")
+    before = spark.conf.get("spark.sql.files.ignoreCorruptFiles")
+    config = archive.ArchiveConfig(root=str(root), min_observations=1, symbols=("AAA", "bbb", "CCC", "DDD", "VOL", "EEE"))
+    rows, report = archive.build_archive(spark, config)
+    got = sorted((r.ticker, str(r.date), r.var_rv5) for r in rows.collect())
+    assert got == [("AAA", "2020-01-02", 0.02), ("AAA", "2020-01-03", 0.03), ("BBB", "2020-01-02", 0.05), ("CCC", "2020-01-02", 0.07), ("VOL", "2020-01-06", 0.06)]
+    found = {r.ticker: (r.files, r.files_read, r["rows"], r.found) for r in report.collect()}
+    assert found["DDD"] == (1, 0, 0, False) and found["EEE"] == (0, 0, 0, False) and found["BBB"] == (1, 1, 1, True)
+    assert spark.conf.get("spark.sql.files.ignoreCorruptFiles") == before
+    told = archive.manifest(rows, report, config)
+    assert told["not_found"] == ["DDD", "EEE"] and told["config"]["measure"] == "rv5" and "rk" in told["missing_measures"]
+
+
+def test_bars_must_be_bars(spark):
+    good = spark.createDataFrame(walk(3))
+    assert cleaning.require_ohlc(good) is good
+    for bad in (good.drop("low"), good.withColumn("date", F.lit("x")), good.withColumn("close", F.lit("1"))):
+        with pytest.raises(ValueError):
+            cleaning.require_ohlc(bad)
+
+
+def test_the_last_row_of_a_date_stays(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("ticker,date,open,high,low,close,volume\nT,2020-01-02,9,9.5,8,9,1\nT,2020-01-02,1,2,0.5,1.5,1\n")
+    clean, report = daily.load_bars(daily.read_any(spark, str(tmp_path / "b.csv")))
+    assert [r.close for r in clean.collect()] == [1.5] and report.first().dropped == 1
+
+
+def test_companions(spark):
+    days = [date(2020, 1, k) for k in (1, 2, 3)]
+    rows = spark.createDataFrame([("A", days[0], 1.0), ("A", days[1], 2.0), ("B", days[1], 5.0), ("C", days[2], 7.0)], "ticker string, date date, y double")
+    got = {(r.ticker, r.date.day): (r.companion_A, r.companion_B) for r in covariates.companions(rows, "y", ("A", "B")).collect()}
+    assert got == {("A", 1): (None, None), ("A", 2): (None, 5.0), ("B", 2): (2.0, None), ("C", 3): (None, None)}
+    seen = []
+    model = forecasters.Foundation(lambda y, past, future, h, levels: seen.append((past, np.random.rand())) or np.ones((h, len(levels))), companions=("companion_A", "companion_B"), seed=3)
+    y = np.ones(10)
+    for _ in range(2):
+        model.fit(y, {"companion_A": np.where(np.arange(10) < 6, np.nan, 2.0), "companion_B": np.where(np.arange(10) < 4, np.nan, 3.0)})
+    assert set(seen[0][0]) == {"companion_B"} and (seen[0][0]["companion_B"] == 3.0).all() and seen[0][1] == seen[1][1]
+    assert forecasters.resolve_device("x") == "x" and forecasters.resolve_device() in ("cpu", "cuda")
+
+
+def test_models_may_be_instances(spark):
+    rows = vol_frame(spark, 130, ("A",))
+    config = backtest.BacktestConfig(horizons=(1,), min_train=120)
+    made = forecasters.EWMA(0.9)
+    a, b = (backtest.results(backtest.run_backtest(rows, "y", {"m": m}, config)).orderBy("origin_date").collect() for m in (made, lambda: forecasters.EWMA(0.9)))
+    assert a == b and len(a) == 10 and not len(made.y)
+
+
+def test_decayed_sums():
+    x = np.random.default_rng(2).normal(size=333)
+    for decay in (0.0, 0.94, -0.5, 0.999999):
+        want, now = [], 0.0
+        for v in x:
+            now = v + decay * now
+            want.append(now)
+        np.testing.assert_allclose(forecasters.decayed_sums(x, decay), want, rtol=1e-9, atol=1e-12)
+
+
 def test_daily_sources(spark, tmp_path):
     walk(20).to_csv(tmp_path / "bars.csv", index=False)
     raw = daily.read_any(spark, str(tmp_path / "bars.csv"))
@@ -385,6 +497,19 @@ def test_iv_bank(spark, tmp_path):
 
     found = ivbank.fetch_range(spark, Fake(), "AAA", date(2026, 1, 1), date(2026, 1, 5)).collect()
     assert [(r.iv, r.hv) for r in found] == [(0.25, 0.25)]
+    waits, asked = [], []
+
+    class Slow(Fake):
+        def bars(self, contract, what, end, duration):
+            asked.append(end)
+            if len(asked) == 1:
+                raise ivbank.GatewayError(2104, "all is well")
+            return [(date(2026, 1, 5), 0.2, 0.3, 0.1, 0.25)] if len(asked) < 4 else []
+
+    ivbank.fetch_range(spark, Slow(), "AAA", date(2020, 1, 1), date(2026, 1, 5), pause=2.5, sleep=waits.append)
+    assert asked[0] == asked[1] and waits == [2.5, 2.5]
+    with pytest.raises(ivbank.GatewayError):
+        ivbank.request(type("Bad", (), {"bars": lambda *a: (_ for _ in ()).throw(ivbank.GatewayError(162))})(), "A", "x", None, "")
     path = str(tmp_path / "bank")
     for _ in range(2):
         assert ivbank.main(["update", "--out", path, "--tickers", "AAA", "BBB"], spark, lambda a: Fake(), (), date(2026, 1, 7)) == 0
