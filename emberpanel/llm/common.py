@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet to the shared checkpoint folder and read them back.
+def settle(df: DataFrame, as_table: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, or ``as_table`` with a Parquet table in the same folder.
 
-    A table is written rather than an RDD checkpointed, as the latter hands on the size estimates of its plan, which double their
-    digits with every join of a loop. The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
-    unset, a local session (as in tests) gets a temporary one; a cluster has none that all its machines share, so there it is an error.
+    A checkpoint hands on the size estimates of its plan, which double their digits with every join, so long loops write a table now
+    and then. The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a local session (as
+    in tests) gets a temporary one; a cluster has none that all its machines share, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -31,6 +31,8 @@ def settle(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    if not as_table:
+        return df.checkpoint(eager=True)
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("root"))
-    while True:
+    for turn in count(1):
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = roots.join(near, "id").select("id", "root", F.least("root", "near").alias("new"))
         far = roots.select(F.col("id").alias("new"), F.col("root").alias("far"))
-        moved = settle(step.join(far, "new").select("id", "root", F.least("new", "far").alias("new")))
+        moved = settle(step.join(far, "new").select("id", "root", F.least("new", "far").alias("new")), as_table=turn % 3 == 0)
         roots = moved.select("id", F.col("new").alias("root"))
         if moved.where("new != root").isEmpty():
             return roots
@@ -331,9 +332,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         columns = (contents, np.diff(ends), mass, sketches, found)
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_h"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_id", "_h", "content", "words", "mass", "sketch", "bands"])
 
-    signed = settle(arrow_map(source, "_id long, _h long, content binary, words int, mass double, sketch binary, bands array<long>", sign).withColumn("_row", F.monotonically_increasing_id()))
+    signed = settle(arrow_map(source, "_id long, _h long, content binary, words int, mass double, sketch binary, bands array<long>", sign).withColumn("_row", F.monotonically_increasing_id()), as_table=True)
     head = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_h")).alias("head")
-    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("words", "mass", "sketch", "bands")]))
+    exact = settle(signed.groupBy("content").agg(head, F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("words", "mass", "sketch", "bands")]), as_table=True)
     keys = exact.select("content", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     met = settle(keys.join(shared, "bucket").select("content", "bucket", "k"))
@@ -347,7 +348,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         everywhere = popular.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "top.content")
         members = members.unionByName(everywhere.join(sketched, "content").select(*members.columns))
     one = met.select("content").distinct().join(exact.select("content", "head._id", "head._h"), "content")
-    texts = settle(source.join(one, source["_id"].eqNullSafe(one["_id"]) & (source["_h"] == one["_h"])).groupBy("content").agg(F.first("_text").alias("_text")))
+    texts = settle(source.join(one, source["_id"].eqNullSafe(one["_id"]) & (source["_h"] == one["_h"])).groupBy("content").agg(F.first("_text").alias("_text")), as_table=True)
     proposals = _candidates(members, False, threshold, least)
     roots = components(_verify(proposals, texts, weights, width, threshold, block))
     rooted = F.coalesce("root", "content").alias("root")

@@ -154,7 +154,7 @@ def _round(state: DataFrame, opened: DataFrame, capacity: int, largest: int, lea
         F.when(~is_gap, capacity - F.col("gap") + F.col("_before")).cast("int").alias("offset"),
     ).where((F.col("kind") == PLACED) | (F.col("size") > 0))
     again = asked.where("other is null").select(F.lit(WAITING).alias("kind"), "id", "size", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("int").alias("offset"))
-    return settle(kept.unionByName(again))
+    return settle(kept.unionByName(again), as_table=True)
 
 
 def remaining_rounds(docs: list[tuple[int, int]], gaps: dict[int, int], opened: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -231,6 +231,6 @@ def pack(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_c
     long. An empty table gives no rows. Other columns are ignored.
     """
     pieces = tokenise(docs, tokenizer_json, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id)
-    pieces = settle(pieces.withColumn("id", F.monotonically_increasing_id()))
+    pieces = settle(pieces.withColumn("id", F.monotonically_increasing_id()), as_table=True)
     placed = place(pieces.select("id", F.col("length").cast("int").alias("size")), capacity=capacity, task_rows=task_rows)
     return pieces.join(placed, "id").select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))

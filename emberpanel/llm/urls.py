@@ -66,7 +66,7 @@ def spread(seeds: DataFrame, links: DataFrame, *, damping: float, settled: float
             kept = mass.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")) if _ == every - 1 else None
             rows = arrived.unionByName(seeds.select("host", "mass", F.lit(0.0).alias("old")))
             mass = (rows if kept is None else rows.unionByName(kept)).groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old"))
-        mass = settle(mass)
+        mass = settle(mass, as_table=True)
         total, change = mass.agg(F.sum("mass"), F.sum(F.abs(F.col("mass") - F.col("old")))).first()
         if (change or 0.0) <= settled * (total or 0.0):
             return mass.select("host", (F.col("mass") / (total or 1.0)).alias("mass"))
