@@ -76,5 +76,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = settle(stage(spark, docs, sf_dir), as_table=True)
     return STAGES[-1][1](spark, docs, sf_dir)
