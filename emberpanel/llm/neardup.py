@@ -123,10 +123,10 @@ def _proposals(rows: list[tuple], threshold: float, least: float) -> list[tuple]
 
 
 def _still_apart(rows: list[tuple], threshold: float, least: float) -> list[tuple]:
-    """(component, low block, high block, content, root) of the rows of pairs that are alike enough and of different classes (root).
+    """(component, block, content, root, partners) of the rows of pairs that are alike enough and of different classes (root).
 
-    Rows are (bucket, part, content, sketch, words, mass, root, side, component, block). A pair counts for the blocks of its rows,
-    which are the same in every bucket; each row of it is given out once for those blocks.
+    Rows are (bucket, part, content, sketch, words, mass, root, side, component, block). ``partners`` are the blocks of the other rows
+    of a row's pairs; blocks are the same in every bucket. So a bucket gives out each row once, however many pairs it is in.
     """
     own = sorted({r[2]: r for r in rows}.values(), key=lambda r: (r[7], r[2]))
     if len({r[6] for r in own}) < 2:
@@ -142,23 +142,19 @@ def _still_apart(rows: list[tuple], threshold: float, least: float) -> list[tupl
         near = near[classes[near] != classes[k]]
         met[k, block[near]] = True
         met[near, block[k]] = True
-    out = []
-    for k, other in zip(*(x.tolist() for x in np.nonzero(met)), strict=True):
-        low, high = sorted((own[k][9], places[other][1]))
-        out.append((own[k][8], low, high, own[k][2], own[k][6]))
-    return out
+    return [(own[k][8], own[k][9], own[k][2], own[k][6], [places[x][1] for x in np.flatnonzero(met[k])]) for k in np.flatnonzero(met.any(1)).tolist()]
 
 
 def _candidates(members: DataFrame, second: bool, threshold: float, least: float) -> DataFrame:
     """What each bucket has to verify; rows come sorted by bucket and part, and a part is held in memory.
 
     First a spanning forest, as pairs (hub, member). Second, the rows of pairs that join different classes, dealt to pairs of blocks:
-    (component, low, high, content, root). So a bucket never gives out its pairs, only its rows, and what several buckets find is
-    one. A part with rows of both sides compares one side with the other.
+    (component, low, high, content, root). A bucket never gives out its pairs, only its rows, and what several buckets find of a row
+    is put together before it goes to its pairs of blocks. A part with rows of both sides compares one side with the other.
     """
     names = ["bucket", "part", "content", "sketch", "words", "mass", *(["root", "side", "component", "block"] if second else [])]
-    schema = "component binary, low long, high long, content binary, root binary" if second else "hub binary, member binary"
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()] if second else [pa.binary(), pa.binary()]
+    schema = "component binary, block long, content binary, root binary, partners array<long>" if second else "hub binary, member binary"
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())] if second else [pa.binary(), pa.binary()]
     fields = [c.split()[0] for c in schema.split(", ")]
 
     def found(rows: list[tuple]) -> list[tuple]:
@@ -184,7 +180,13 @@ def _candidates(members: DataFrame, second: bool, threshold: float, least: float
 
     ship(members.sparkSession)
     dealt = members.select(*names).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return settle(dealt.mapInArrow(run, schema).distinct())
+    made = dealt.mapInArrow(run, schema)
+    if not second:
+        return settle(made.distinct())
+    partners = F.array_distinct(F.flatten(F.collect_list("partners")))
+    rows = settle(made.groupBy("component", "block", "content", "root").agg(partners.alias("partners")))
+    met = rows.withColumn("other", F.explode("partners"))
+    return met.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "content", "root")
 
 
 def in_blocks(proposals: DataFrame, size: int) -> DataFrame:

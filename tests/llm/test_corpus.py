@@ -389,10 +389,10 @@ def test_rows_still_apart_go_to_the_blocks_of_their_pairs():
     sketch = [np.array(v, np.uint16).tobytes() for v in ([1] * 84, [1] * 84, [2] * 84, [1] * 84)]
     row = lambda k, root, block, side=0: (9, 0, b"c%d" % k, sketch[k], 100, 200.0, root, side, b"g", block)
     look = lambda *own: sorted(neardup._still_apart(list(own), 0.8, 0.5))
-    assert look(row(0, b"a", 1), row(1, b"b", 0), row(2, b"c", 1)) == [(b"g", 0, 1, b"c0", b"a"), (b"g", 0, 1, b"c1", b"b")]
-    assert look(row(0, b"a", 1), row(1, b"a", 0), row(3, b"b", 1)) == [(b"g", 0, 1, b"c1", b"a"), (b"g", 0, 1, b"c3", b"b"), (b"g", 1, 1, b"c0", b"a"), (b"g", 1, 1, b"c3", b"b")]
+    assert look(row(0, b"a", 1), row(1, b"b", 0), row(2, b"c", 1)) == [(b"g", 0, b"c1", b"b", [1]), (b"g", 1, b"c0", b"a", [0])]
+    assert look(row(0, b"a", 1), row(1, b"a", 0), row(3, b"b", 1)) == [(b"g", 0, b"c1", b"a", [1]), (b"g", 1, b"c0", b"a", [1]), (b"g", 1, b"c3", b"b", [0, 1])]
     assert look(row(0, b"a", 1), row(1, b"a", 0)) == []
-    assert look(row(0, b"a", 0, 0), row(1, b"b", 0, 0), row(3, b"c", 0, 1)) == [(b"g", 0, 0, b"c0", b"a"), (b"g", 0, 0, b"c1", b"b"), (b"g", 0, 0, b"c3", b"c")]
+    assert look(row(0, b"a", 0, 0), row(1, b"b", 0, 0), row(3, b"c", 0, 1)) == [(b"g", 0, b"c0", b"a", [0]), (b"g", 0, b"c1", b"b", [0]), (b"g", 0, b"c3", b"c", [0])]
 
 
 def test_hot_keys_are_joined_by_broadcast(spark):
