@@ -117,13 +117,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     blocks, n = blocks_of(benchmark, item_col, item_text_col, width, block_chars)
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_pad")).alias("_kept"))
     if n == 1:
-        out = _judge(_scan(out.withColumns({"_h": F.lit(0).cast("long"), "_h2": F.lit(0).cast("long")}), _gather(blocks, 0, width), hits_only=False), share)
+        out = _judge(out, share, _gather(blocks, 0, width))
     else:
         blocks = settle(blocks.repartition(n, "block"))
         keyed = out.withColumns({"_h": F.xxhash64("_id", "_text"), "_h2": F.xxhash64("_text", "_id")})
         found = None
         for block in range(n):
-            own = settle(_scan(keyed, _gather(blocks, block, width), hits_only=True).dropDuplicates(["_h", "_h2"]))
+            own = settle(_scan(keyed, _gather(blocks, block, width)).dropDuplicates(["_h", "_h2"]))
             found = own if found is None else found.unionByName(own)
         found = found.groupBy("_h", "_h2").agg(F.flatten(F.collect_list("_found")).alias("_found"))
         out = _judge(keyed.join(found, ["_h", "_h2"], "left"), share)
@@ -139,32 +139,36 @@ _FOUND_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("
 _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(docs: DataFrame, windows: WindowSet, hits_only: bool) -> DataFrame:
-    """Documents with what ``windows`` hit in them; with ``hits_only`` just the keys of those hit."""
-    shown = ["_h", "_h2"] if hits_only else ["_id", "_text", "_kept"]
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in shown)
+def _found(windows: WindowSet, words: list[bytes]) -> list[dict]:
+    """What ``windows`` hit among the words, the items with the first hit."""
+    spans, items = windows.hits(np.fromiter((windows.ids.get(w, 0) for w in words), np.uint32, len(words)))
+    own = [{"start": s, "end": e, "items": []} for s, e in spans]
+    if own:
+        own[0]["items"] = sorted(items, key=lambda i: (i is not None, i))
+    return own
+
+
+def _scan(docs: DataFrame, windows: WindowSet) -> DataFrame:
+    """Keys of the documents that ``windows`` hit, and what was hit."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = windows.ids, []
-        for text in strings(batch, "_text"):
-            words = normal_words(text)
-            spans, items = windows.hits(np.fromiter((ids.get(w, 0) for w in words), np.uint32, len(words)))
-            own = [{"start": s, "end": e, "items": []} for s, e in spans]
-            if own:
-                own[0]["items"] = sorted(items, key=lambda i: (i is not None, i))
-            found.append(own)
-        take = pa.array([k for k, own in enumerate(found) if own or not hits_only], pa.int64())
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in shown), pa.array(found, _FOUND_TYPE).take(take)], names=[*shown, "_found"])
+        found = [_found(windows, normal_words(text)) for text in strings(batch, "_text")]
+        take = pa.array([k for k, own in enumerate(found) if own], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("_h").take(take), batch.column("_h2").take(take), pa.array(found, _FOUND_TYPE).take(take)], names=["_h", "_h2", "_found"])
 
-    return arrow_map(docs.select(*dict.fromkeys((*shown, "_text"))), f"{schema}, _found {_FOUND}", work)
+    return arrow_map(docs.select("_h", "_h2", "_text"), f"_h long, _h2 long, _found {_FOUND}", work)
 
 
-def _judge(docs: DataFrame, share: int) -> DataFrame:
+def _judge(docs: DataFrame, share: int, windows: WindowSet | None = None) -> DataFrame:
+    """The result's columns, from what ``windows`` hit or, without them, from the findings in ``_found``."""
     id_type, kept_type = docs.schema["_id"].dataType.simpleString(), docs.schema["_kept"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, hit, n_items, digests, merged = [], [], [], [], []
-        for text, spans in zip(strings(batch, "_text"), batch.column("_found").to_pylist(), strict=True):
+        before = [None] * batch.num_rows if windows else batch.column("_found").to_pylist()
+        for text, spans in zip(strings(batch, "_text"), before, strict=True):
+            words = normal_words(text)
+            spans = _found(windows, words) if windows else spans
             joined: list[dict] = []
             for s, e in sorted((x["start"], x["end"]) for x in spans or []):
                 if joined and s <= joined[-1]["end"]:
@@ -172,7 +176,7 @@ def _judge(docs: DataFrame, share: int) -> DataFrame:
                 else:
                     joined.append({"start": s, "end": e})
             items = {i for x in spans or [] for i in x["items"]}
-            counts.append(len(normal_words(text)))
+            counts.append(len(words))
             hit.append(sum(x["end"] - x["start"] for x in joined))
             n_items.append(len(items))
             digests.append(hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest())
