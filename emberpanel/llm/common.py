@@ -43,17 +43,15 @@ def hot_keys(counted: DataFrame, key: str, count: str, total: int, share: int =
     return [r[0] for r in counted.where(F.col(key).isNotNull() & (F.col(count) * share > total)).select(key).collect()]
 
 
-def hot_join(rows: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, places: int = 4096) -> DataFrame:
-    """Left join with ``right``, which has a row a key. Rows of ``hot`` keys stay where ``spread`` puts them and get theirs by broadcast."""
+def hot_join(rows: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, places: int = 256) -> DataFrame:
+    """Left join with ``right``, which has a row a key. Rows of ``hot`` keys, and of none, go to ``places`` places by ``spread``, and a hot key's row to each of them."""
     if not hot:
         return rows.join(right, key, "left")
-    values = [c for c in right.columns if c != key]
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = F.broadcast(right.where(is_hot).select(F.col(key).alias("_hot"), F.struct(*values).alias("_few")))
-    cold = right.where(~is_hot).select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_place"), F.struct(*values).alias("_many"))
-    dealt = rows.withColumns({"_cold": F.when(~is_hot, F.col(key)), "_place": F.when(is_hot, F.pmod(spread, F.lit(places))).otherwise(0).cast("long")})
-    out = dealt.join(cold, ["_cold", "_place"], "left").join(few, F.col(key) == F.col("_hot"), "left")
-    return out.select(*rows.columns, *[F.coalesce(F.col("_few")[c], F.col("_many")[c]).alias(c) for c in values])
+    every, one = F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long")), F.array(F.lit(0).cast("long"))
+    met = right.withColumn("_place", F.explode(F.when(is_hot, every).otherwise(one)))
+    dealt = rows.withColumn("_place", F.when(is_hot | F.col(key).isNull(), F.pmod(spread, F.lit(places))).otherwise(0).cast("long"))
+    return dealt.join(met, [key, "_place"], "left").select(*rows.columns, *[c for c in right.columns if c != key])
 
 
 #: Rows of an Arrow batch between Spark and Python: texts are long, and both sides hold a batch.

@@ -395,7 +395,7 @@ def test_rows_still_apart_go_to_the_blocks_of_their_pairs():
     assert look(row(0, b"a", 0, 0), row(1, b"b", 0, 0), row(3, b"c", 0, 1)) == [(b"g", 0, b"c0", b"a", [0]), (b"g", 0, b"c1", b"b", [0]), (b"g", 0, b"c3", b"c", [0])]
 
 
-def test_hot_keys_are_joined_by_broadcast(spark):
+def test_hot_keys_are_joined_at_many_places(spark):
     rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}" if k % 2 else None) for k in range(300)], "n int, key string")
     right = spark.createDataFrame([("hot", 1, None), ("k3", 2, "x"), ("none", 3, "y")], "key string, v int, s string")
     hot = common.hot_keys(rows.groupBy("key").count(), "key", "count", 300, share=4)
